@@ -52,11 +52,14 @@ def drop_stash(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def text_hash(text: Column | str = "text") -> Column:
-    """Part of the document key that tells apart rows which share a doc_id; null texts count as a
-    value of their own."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(F.xxhash64(c), F.lit(0))
+def id_key() -> Column:
+    """With text_hash, the document key: doc_id without nulls."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+
+
+def text_hash() -> Column:
+    """Tells apart rows that share a doc_id, and null doc_ids from zero. Never null."""
+    return F.xxhash64(F.col("text").cast("string"), F.col("doc_id").isNull())
 
 
 def crc_mod(doc_id: Column | str, n: int) -> Column:

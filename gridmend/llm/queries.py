@@ -7,7 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmend.llm.common import table
+from gridmend.llm.common import crc_mod, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridmend.llm.toxicity import score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    held = crc_mod("doc_id", 5) == 0
+    model = train(docs, table(spark, sf_dir, "labels"), ~held)
+    scored = score_documents(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridmend.llm.langid import label_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    held = crc_mod("doc_id", 4) == 2
+    found = label_documents(docs, train(docs, ~held))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +55,20 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridmend.llm.simhash import group_documents
+
+    groups = group_documents(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_language": op2_language,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_secrets": op6_secrets,
+    "op9_simhash": op9_simhash,
 }
 
 
