@@ -39,6 +39,15 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridmend.llm.sharding import shard_documents
+
+    placed = shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridmend.llm.secrets import scan_documents
 
@@ -56,6 +65,20 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridmend.llm.decontaminate import mark_documents
+
+    marked = mark_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return marked.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridmend.llm.simhash import group_documents
 
@@ -67,7 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
+    "op7_decontamination": op7_decontamination,
     "op9_simhash": op9_simhash,
 }
 
