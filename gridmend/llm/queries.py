@@ -31,6 +31,14 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op3_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridmend.llm.unit_dedup import dedup_documents
+
+    left = dedup_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return left.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.array_join(spans, ",").alias("removed"), "text")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,6 +87,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridmend.llm.line_dedup import mark_documents
+
+    marked = mark_documents(table(spark, sf_dir, "documents"))
+    return marked.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridmend.llm.simhash import group_documents
 
@@ -97,10 +112,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
+    "op3_units": op3_units,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
     "op7_decontamination": op7_decontamination,
+    "op8_lines": op8_lines,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
