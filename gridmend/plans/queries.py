@@ -91,7 +91,7 @@ def simulate_roundtrip(spark, d):
     symbol = F.concat(F.get(prefixes, (k % 7).cast("int")), (k % 53).cast("string"))
     rows = table(spark, d, "customer").select("c_custkey", symbol.alias("symbol")).withColumn("made", S.simulate(F.col("symbol")))
     back = S.reverse_date(F.col("made.d"), F.when(F.year("made.d") == 2024, "d-mmm"))
-    return rows.select("c_custkey", "symbol", F.col("made.d").cast("string").alias("made"), F.array_contains(back, F.col("symbol")).alias("round_trip"))
+    return rows.select("c_custkey", "symbol", F.col("made.d").cast("string").alias("made"), F.coalesce(F.array_contains(back, F.col("symbol")), F.lit(False)).alias("round_trip"))
 
 
 def riken_signature(spark, d):
@@ -350,7 +350,7 @@ def schema_fields(spark, d):
 def prefilter(spark, d):
     docs = table(spark, d, "documents")
     word = F.element_at(F.split("text", r"\s+"), 1)
-    seeded = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("SEPT"), (F.col("doc_id") % 40).cast("string"))).otherwise(word)
+    seeded = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("SEPT"), (F.floor(F.col("doc_id") / 4) % 20).cast("string"))).otherwise(word)
     files = docs.select((F.col("doc_id") % 100).alias("row_id"), seeded.alias("v_str"), F.concat(F.lit("f"), F.floor(F.col("doc_id") / 100).cast("string")).alias("file_id"))
     cells = files.select("file_id", F.lit(0).alias("sheet_ord"), F.lit("s").alias("sheet"), F.lit(0).alias("col_ord"), F.lit("w").alias("col"), "row_id", F.lit("str").alias("vtype"), "v_str")
     known = G.seed(spark).lookup()
