@@ -57,5 +57,5 @@ def table_schemas(field_rows: DataFrame) -> DataFrame:
 def violations(cells: DataFrame, field_rows: DataFrame) -> DataFrame:
     """Cells that don't satisfy their column's schema."""
     j = cells.join(field_rows.where("registry is not null"), COLUMN)
-    bad = (F.col("vtype") != "str") | (F.col("pattern").isNotNull() & ~F.col("v_str").rlike(F.lit(PATTERNS["HGNC"])) & (F.col("registry") == "HGNC")) | ((F.col("registry") == "RIKEN") & ~F.col("v_str").rlike(PATTERNS["RIKEN"]))
+    bad = (F.col("vtype") != "str") | (F.col("pattern").isNotNull() & ~F.col("v_str").rlike(PATTERNS["HGNC"]) & (F.col("registry") == "HGNC")) | ((F.col("registry") == "RIKEN") & ~F.col("v_str").rlike(PATTERNS["RIKEN"]))
     return j.where(bad).select(*COLUMN, "row_id", "vtype", "registry")

@@ -227,6 +227,7 @@ SQL: dict[str, str] = {
     "corpus_summary": f"""{SUSP}, f AS (SELECT 'file' || i || '_x.csv' AS file_id FROM range(40) t(i)), b AS (SELECT file_id, {BAND} AS band FROM susp), p AS (SELECT file_id, string_split(file_id, '_')[1] AS paper, length(file_id) = 11 AS gene, file_id IN (SELECT file_id FROM b) AS hit FROM f), fb AS (SELECT * FROM b WHERE file_id IN (SELECT file_id FROM f))
  SELECT count(*) AS files, count(*) FILTER (WHERE gene) AS gene_files, count(*) FILTER (WHERE gene AND hit) AS corrupted_files, count(DISTINCT paper) AS papers, count(DISTINCT CASE WHEN gene AND hit THEN paper END) AS papers_corrupted,
  (SELECT count(*) FROM fb WHERE band = 'High') AS high, (SELECT count(*) FROM fb WHERE band = 'Medium') AS medium, (SELECT count(*) FROM fb WHERE band = 'Low') AS low, (SELECT count(*) FROM fb WHERE band = 'Info') AS info FROM p""",
+    "batch_summary": f"{SUSP} SELECT 'files' AS item, 40 AS n UNION ALL SELECT 'files with suspicions', count(DISTINCT file_id) FROM susp UNION ALL SELECT {BAND}, count(*) FROM susp GROUP BY 1",
     "html_sniff": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'tsv' ELSE CASE WHEN contains(lower(substr(html, 1, 2048)), '<table') THEN 'html' WHEN regexp_matches(lower(ltrim(substr(html, 1, 2048))), '^(<!doctype html|<html|<head|<\\?xml version|<script)') THEN 'error' WHEN contains(substr(html, 1, 2048), chr(9)) THEN 'tsv' ELSE 'as named' END END AS format FROM pages",
     "merged_fill": "SELECT a.n_nationkey + i AS row_id, c AS col, CASE WHEN c = 'b' AND i = 0 THEN CAST(n_regionkey AS VARCHAR) ELSE n_name END AS v_str FROM (SELECT * FROM nation WHERE n_nationkey % 5 = 0) a, range(4) r(i), (VALUES ('a'), ('b')) t(c)",
     "snapshot_ages": """WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-09-01') END AS age FROM orders) SELECT o_orderkey, age, CASE WHEN age > 30 THEN 'registry snapshot is ' || age || ' days old' END AS note FROM p""",

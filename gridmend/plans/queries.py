@@ -11,6 +11,7 @@ from gridmend.functions import fixed as X
 from gridmend.functions import scalars as S
 from gridmend.operators import cells as C
 from gridmend.operators import corrections as K
+from gridmend.operators import outputs as U
 from gridmend.operators import profile as P
 from gridmend.operators import registry as G
 from gridmend.operators import rules as R
@@ -432,13 +433,22 @@ def table_schemas(spark, d):
     return H.table_schemas(H.fields(rich, P.profile_columns(rich, cols))).select("sheet", "schema")
 
 
+def batch_summary(spark, d):
+    return U.batch_summary(suspicions(spark, d), spark.createDataFrame([(f"file{i}_x.csv",) for i in range(40)], "file_id string"))
+
+
+def payloads(spark, d):
+    errors = spark.createDataFrame([("bad.xlsx", "Unreadable: no table")], "file_id string, error string")
+    return U.payload(suspicions(spark, d), errors)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         gene_date_by_family, serial_to_date, reverse_date, canonicalize, parse_date_text, parse_cell_dates, simulate_roundtrip, riken_signature, leading_zeros, time_texts,
         cas_and_aliases, decimal_commas, homoglyphs, value_kinds, header_hints, cells_of_tables, classify_columns, column_verdicts, column_counts, detect_sheet, detect_tables, autofill_runs,
         registry_build, registry_resolve, registry_equivalents, xref_lookup, xref_adjudicate, bands, exit_codes, audit, analytics, capped, proposals, audit_log, apply_corrections, schema_fields, table_schemas,
-        prefilter, recall, precision_intervals, corpus_summary, html_sniff, merged_fill, stratified_sample, snapshot_ages, date_prone, reports, json_reports,
+        prefilter, recall, precision_intervals, corpus_summary, html_sniff, merged_fill, stratified_sample, snapshot_ages, date_prone, reports, json_reports, batch_summary, payloads,
     )
 }
 __all__ = ["QUERIES", "R"]
