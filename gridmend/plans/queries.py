@@ -272,7 +272,7 @@ def xref_adjudicate(spark, d):
     k = F.col("o_orderkey")
     base = orders(spark, d).select(k.alias("row_id"), F.concat(F.lit("GEN"), (k % 60 + 1).cast("string")).alias("cand"), F.when(k % 4 != 3, F.concat(F.lit("HGNC:"), F.when(k % 4 == 0, k % 60 + 1).otherwise(k % 50 + 1).cast("string"))).alias("hgnc"))
     cells = C.from_table(base.select("row_id", "cand", "hgnc"), "row_id", skip=("row_id",))
-    null = F.lit(None).cast("string")
+    null, k_ = F.lit(None).cast("string"), F.col("row_id")
     susp = base.select(
         F.lit("table").alias("file_id"), F.lit(0).alias("sheet_ord"), F.lit("_sheet0").alias("sheet"), F.lit(0).alias("col_ord"), F.lit("cand").alias("col"), "row_id", F.lit("R-DATE").alias("rule_id"), F.lit("gene-date").alias("kind"),
         F.col("cand").alias("value_repr"), F.when(k_ % 10 != 9, F.col("cand")).alias("suggestion"), F.array("cand").alias("candidates"), (F.lit(0.15) + (k_ % 5) * 0.2).alias("confidence"), F.lit("R-DATE").alias("reason_code"),
@@ -282,8 +282,6 @@ def xref_adjudicate(spark, d):
     return got.select("row_id", "xref_status", F.round("confidence", 6).alias("confidence"))
 
 
-k_ = F.col("row_id")
-
 
 def suspicions(spark, d) -> DataFrame:
     """Suspicions made from orders by arithmetic, for the operators on reports."""
