@@ -228,6 +228,13 @@ SQL: dict[str, str] = {
  SELECT count(*) AS files, count(*) FILTER (WHERE gene) AS gene_files, count(*) FILTER (WHERE gene AND hit) AS corrupted_files, count(DISTINCT paper) AS papers, count(DISTINCT CASE WHEN gene AND hit THEN paper END) AS papers_corrupted,
  (SELECT count(*) FROM fb WHERE band = 'High') AS high, (SELECT count(*) FROM fb WHERE band = 'Medium') AS medium, (SELECT count(*) FROM fb WHERE band = 'Low') AS low, (SELECT count(*) FROM fb WHERE band = 'Info') AS info FROM p""",
     "batch_summary": f"{SUSP} SELECT 'files' AS item, 40 AS n UNION ALL SELECT 'files with suspicions', count(DISTINCT file_id) FROM susp UNION ALL SELECT {BAND}, count(*) FROM susp GROUP BY 1",
+    "detect_sheet": f"""WITH {reversed_dates("SELECT o_orderkey AS key, CAST(o_orderdate AS DATE) AS d, CAST(NULL AS VARCHAR) AS fmt FROM orders WHERE o_orderkey % 11 = 0")}, {CANON}, js AS (SELECT key, string_agg(sym, ' | ' ORDER BY pos) AS symbols, count(*) AS k FROM canon GROUP BY key),
+ n AS (SELECT count(DISTINCT key) AS c FROM hits)
+ SELECT 'symbol' AS col, key AS row_id, 'R-DATE' AS rule_id, 'gene-date' AS kind, symbols AS suggestion, CASE WHEN k = 1 THEN 0.95 WHEN k IS NULL THEN 0.0 WHEN c < 2 THEN CASE WHEN one_modern THEN 0.3 ELSE 0.2 END WHEN one_modern THEN 0.6 ELSE 0.5 END AS confidence
+ FROM base LEFT JOIN js USING (key) LEFT JOIN ones USING (key), n UNION ALL SELECT 'note', o_orderkey, 'R-DSTR', 'gene-date-string', 'OCT2', 0.55 FROM orders WHERE o_orderkey % 97 = 0""",
+    "recall": f"""{SUSP}, e AS (SELECT o_orderkey AS note_id, 'file' || (o_orderkey % 29) || '_x.csv' AS file_id, CASE o_orderkey % 5 WHEN 0 THEN [] WHEN 1 THEN ['MARC1', 'MARCH1', 'SEPT2'] WHEN 2 THEN ['DEC1'] ELSE ['MARCH9', 'OCT4'] END AS symbols FROM orders WHERE o_orderkey < 200),
+ o AS (SELECT file_id, list_distinct(flatten(list(candidates))) AS offered FROM susp GROUP BY file_id)
+ SELECT note_id, array_to_string(symbols, '|') AS symbols, CASE WHEN len(symbols) = 0 THEN 'ambiguous-note' WHEN offered IS NULL THEN 'FN-missed' WHEN list_has_any(symbols, offered) THEN 'TP' ELSE 'FN-suggestion-mismatch' END AS outcome FROM e LEFT JOIN o USING (file_id)""",
     "html_sniff": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'tsv' ELSE CASE WHEN contains(lower(substr(html, 1, 2048)), '<table') THEN 'html' WHEN regexp_matches(lower(ltrim(substr(html, 1, 2048))), '^(<!doctype html|<html|<head|<\\?xml version|<script)') THEN 'error' WHEN contains(substr(html, 1, 2048), chr(9)) THEN 'tsv' ELSE 'as named' END END AS format FROM pages",
     "merged_fill": "SELECT a.n_nationkey + i AS row_id, c AS col, CASE WHEN c = 'b' AND i = 0 THEN CAST(n_regionkey AS VARCHAR) ELSE n_name END AS v_str FROM (SELECT * FROM nation WHERE n_nationkey % 5 = 0) a, range(4) r(i), (VALUES ('a'), ('b')) t(c)",
     "snapshot_ages": """WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-09-01') END AS age FROM orders) SELECT o_orderkey, age, CASE WHEN age > 30 THEN 'registry snapshot is ' || age || ' days old' END AS note FROM p""",
