@@ -8,10 +8,11 @@
      ROWS * BANDS fixed points of the cyclic 64-bit range. The first of two sets' union behind a point is in both
      with probability J, so each value agrees with probability J, as with one permutation each.
   4. High-recall banding: BANDS keys of ROWS values. At J = 0.8 a pair shares a key with probability
-     0.995, at 0.9 with 0.99998.
-  5. Verification: members of a key's list are held against one representative, by exact Jaccard of the
-     shingle sets. Members that fail get another representative, which is held against the whole list
-     again, until no member is left over. No list is ever expanded into all its pairs, of whatever length.
+     0.985, at 0.85 with 0.997, at 0.9 with 0.9998.
+  5. Verification by exact Jaccard of the shingle sets: in lists of up to PAIRED lines, of all pairs; in longer
+     ones each member is held against one representative; members that fail become representatives in
+     turn, each held against the whole list, until none is left. A list of near copies is settled by its
+     first representative, so no long list of them is expanded into its pairs.
   6. Distributed union-find over verified links; of each component the earliest line, by doc_id, then text
      hash, then line number, is kept, and every other occurrence of any of its lines is removed.
 
@@ -22,15 +23,23 @@ lines and then has an empty text; very long texts and lines are read whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmend.llm.common import components, drop_stash, id_key, stash, text_hash
+from gridmend.llm.common import components, id_key, stash, text_hash
 
 MIN_CHARS = 25
 WIDTH, STEP = 12, 8
-ROWS, BANDS = 4, 10
+ROWS, BANDS = 4, 8
 SIMILARITY = 0.8
+#: Lines of fewer shingles match only lines of the same shingles.
+MIN_SHINGLES = 9
+#: Lists up to this length are compared pair by pair; longer ones by representatives.
+PAIRED = 12
+#: Further representatives of a long list that are tried at a time.
+REPS = 32
 _SHINGLE = rf"(?=(.{{1,{WIDTH}}}))\S{{1,{STEP}}}\s*"
 
 
@@ -44,32 +53,33 @@ def line_rows(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").isNull().alias("no_id"), id_key().alias("id0"), text_hash().alias("hash"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line")
     )
-    rows = rows.withColumn("line", F.lower(F.trim(F.translate("line", "\t\r\v\f", "    "))))
+    rows = rows.withColumn("line", F.btrim(F.lower("line"), F.lit(" \t\r\v\f")))
     return rows.where(F.length("line") >= MIN_CHARS)
 
 
-def signature_keys(line: Column) -> DataFrame | Column:
-    """Array of the BANDS band keys of a line, from columns s (sorted hashes) and u (s with the points)."""
+def _points() -> Column:
     k = ROWS * BANDS
-    points = _points(k)
-    sig = [F.coalesce(F.get("s", (F.array_position("u", F.lit(p)) - (j + 1)).cast("int")), F.get("s", F.lit(0))) for j, p in enumerate(points)]
-    return F.array(*[F.xxhash64(F.lit(b), *sig[b::BANDS]) for b in range(BANDS)])
+    return F.split(F.lit(",".join(str(-(1 << 63) + j * ((1 << 64) // k)) for j in range(k))), ",").cast("array<bigint>")
 
 
-def _points(k: int) -> list[int]:
-    return [-(1 << 63) + j * ((1 << 64) // k) for j in range(k)]
+def band_entries(docs: DataFrame) -> DataFrame:
+    """(key, lk): the band keys of every occurrence of a line; lk is the line's hash.
 
+    s holds a line's sorted distinct hashes, u the same with the points: a point's place in u tells how many hashes lie
+    before it, and so which one is next. A line of few shingles can't have another within SIMILARITY unless
+    nearly all are shared, and its values at the points would hardly differ; it has one key, of its whole set."""
+    rows = line_rows(docs).select(F.xxhash64("line").alias("lk"), F.sort_array(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("s"))
+    few = F.size("s") < MIN_SHINGLES
+    rows = rows.withColumn("u", F.when(few, F.array().cast("array<bigint>")).otherwise(F.sort_array(F.concat("s", _points()))))
+    # a row for each band, so that the key is one short compiled expression
+    banded = rows.select("lk", "s", "u", F.explode(F.when(few, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(BANDS - 1)))).alias("b"))
 
-def keyed_lines(docs: DataFrame) -> DataFrame:
-    """(rank struct, lk, keys) of every occurrence of a line; lk is its hash."""
-    rows = line_rows(docs).select(
-        F.struct("no_id", "id0", "hash", "line_no").alias("rank"),
-        F.xxhash64("line").alias("lk"),
-        F.sort_array(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("s"),
-    )
-    points = F.array(*[F.lit(p) for p in _points(ROWS * BANDS)])
-    rows = rows.withColumn("u", F.sort_array(F.concat("s", points)))
-    return rows.select("rank", "lk", signature_keys(F.col("s")).alias("keys"))
+    def value(r: int) -> Column:
+        j = F.col("b") + r * BANDS
+        return F.coalesce(F.get("s", (F.array_position("u", F.get(_points(), j)) - (j + 1)).cast("int")), F.get("s", F.lit(0)))
+
+    whole = F.xxhash64(F.lit(-1), F.col("s"))
+    return banded.select(F.when(F.col("b") < 0, whole).otherwise(F.xxhash64("b", *[value(r) for r in range(ROWS)])).alias("key"), "lk")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -80,42 +90,51 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return b.select("lk", "rep", (common >= SIMILARITY * (F.size("x") + F.size("y") - common)).alias("ok"))
 
 
-def similar_links(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of verified links between distinct lines. lines: (lk, keys)."""
-    entries = lines.select("lk", F.explode("keys").alias("key"))
-    lists = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("lk").alias("rep")).where("n > 1")
-    entries = stash(entries.join(lists.select("key", "rep"), "key"))
+def _pairs_within(lists: DataFrame) -> DataFrame:
+    """(lk, rep) pairs of lists (members array) of PAIRED members at most."""
+    at = F.transform("members", lambda x, i: F.transform(F.slice("members", i + 2, F.size("members")), lambda y: F.struct(y.alias("lk"), x.alias("rep"))))
+    return lists.select(F.explode(F.flatten(at)).alias("p")).select("p.lk", "p.rep")
+
+
+def similar_links(docs: DataFrame) -> DataFrame:
+    """(a, b) of verified links between distinct lines."""
+    # one shuffle by key serves the counting and the join
+    dealt = band_entries(docs).repartition("key")
+    shared = dealt.groupBy("key").agg(F.min("lk").alias("lo"), F.max("lk").alias("hi")).where("lo <> hi").select("key")
+    entries = stash(dealt.join(shared.hint("shuffle_hash"), "key").distinct())
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n"))
+    entries = entries.join(sizes, "key")
+    short = entries.where(F.col("n") <= PAIRED).groupBy("key").agg(F.sort_array(F.collect_list("lk")).alias("members"))
+    whole = entries.where(F.col("n") > PAIRED).select("key", "lk")
+    first = whole.join(whole.groupBy("key").agg(F.min("lk").alias("rep")), "key").where("lk <> rep")
     # shingles only of the lines that share a key with another
     wanted = stash(entries.select("lk").distinct())
     texts = line_rows(docs).select(F.xxhash64("line").alias("lk"), "line")
     sets = texts.join(wanted, "lk", "left_semi").groupBy("lk").agg(F.first("line").alias("line"))
     sets = stash(sets.select("lk", shingles(F.col("line")).alias("shingles")))
-    links, todo, whole = None, entries, entries.select("key", "lk")
-    while True:
-        pairs = todo.where("lk <> rep").select("lk", "rep").distinct()
-        checked = stash(verified(pairs, sets))
-        found = checked.where("ok").select(F.col("lk").alias("a"), F.col("rep").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        # members that failed stay for another round, in which a new representative meets the whole list
-        linked = checked.where("ok").select("lk", "rep")
-        open_ = todo if "open" in todo.columns else todo.withColumn("open", F.lit(True))
-        state = open_.join(linked.withColumn("hit", F.lit(True)), ["lk", "rep"], "left")
-        left = state.where(F.col("open") & (F.col("lk") != F.col("rep")) & F.col("hit").isNull()).select("key", "lk")
-        reps = left.groupBy("key").agg(F.min("lk").alias("rep"))
-        nxt = whole.join(reps, "key").join(left.withColumn("open", F.lit(True)), ["key", "lk"], "left")
-        nxt = stash(nxt.select("key", "lk", "rep", F.coalesce("open", F.lit(False)).alias("open")))
-        todo = nxt
-        if todo.isEmpty():
-            return links
+    checked = stash(verified(_pairs_within(short).unionByName(first.select("lk", "rep")).distinct(), sets))
+    links = [checked]
+    # members of long lists that fail against their representative wait for others, REPS of which at a time meet the whole list
+    hit = checked.where("ok").select("lk", "rep")
+    waiting = stash(first.join(hit, ["lk", "rep"], "left_anti").select("key", "lk"))
+    while not waiting.isEmpty():
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("lk"))
+        reps = stash(waiting.withColumn("rank", rank).where(F.col("rank") <= REPS).select("key", F.col("lk").alias("rep")))
+        asked = whole.join(reps, "key").where("lk <> rep")
+        found = stash(verified(asked.select("lk", "rep").distinct(), sets))
+        links.append(found)
+        left = waiting.join(reps, (waiting.key == reps.key) & (waiting.lk == reps.rep), "left_anti")
+        done = left.join(reps, "key").join(found.where("ok").select("lk", "rep"), ["lk", "rep"], "left_semi").select("key", "lk").distinct()
+        waiting = stash(left.join(done, ["key", "lk"], "left_anti"))
+    out = reduce(DataFrame.unionByName, links)
+    return out.where("ok").select(F.col("lk").alias("a"), F.col("rep").alias("b"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(id0, hash, removed): the sorted numbers of the lines to remove, of each document that loses any."""
-    keyed = keyed_lines(docs)
-    occurrences = stash(keyed.select("rank", "lk"))
+    occurrences = stash(line_rows(docs).select(F.struct("no_id", "id0", "hash", "line_no").alias("rank"), F.xxhash64("line").alias("lk")))
     firsts = occurrences.groupBy("lk").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
-    lines = keyed.groupBy("lk").agg(F.first("keys").alias("keys"))
-    comps = stash(components(similar_links(lines, docs)))
+    comps = stash(components(similar_links(docs)))
     firsts = stash(firsts)
     named = comps.join(firsts, comps.node == firsts.lk).select("lk", "comp", "first")
     kept = named.groupBy("comp").agg(F.min("first").alias("keep"))
