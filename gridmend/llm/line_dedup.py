@@ -111,7 +111,8 @@ def similar_links(docs: DataFrame) -> DataFrame:
     wanted = stash(entries.select("lk").distinct())
     texts = line_rows(docs).select(F.xxhash64("line").alias("lk"), "line")
     sets = texts.join(wanted, "lk", "left_semi").groupBy("lk").agg(F.first("line").alias("line"))
-    sets = stash(sets.select("lk", shingles(F.col("line")).alias("shingles")))
+    # a shingle is kept as its 64-bit hash, a third of its size as text
+    sets = stash(sets.select("lk", F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x)).alias("shingles")))
     checked = stash(verified(_pairs_within(short).unionByName(first.select("lk", "rep")).distinct(), sets))
     links = [checked]
     # members of long lists that fail against their representative wait for others, REPS of which at a time meet the whole list
