@@ -162,8 +162,8 @@ def train(
     rows = docs.where(usable & F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000_007)) / 1_000_000_007
     wanted = marks.where("toxic = 1").where(draw < max_positive / toxic).select("doc_id", F.lit(1).alias("part"))
-    positive = rows.join(wanted, "doc_id").select("part", "text").limit(max_positive)
-    plain = rows.where(draw < max_unlabelled / max(1, total)).select(F.lit(0).alias("part"), "text").limit(max_unlabelled)
+    positive = rows.join(wanted, "doc_id").select("part", "text")
+    plain = rows.where(draw < max_unlabelled / max(1, total)).select(F.lit(0).alias("part"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +173,9 @@ def train(
                 ["part", "slots", "values"],
             )
 
-    made = positive.unionByName(plain).mapInArrow(run, "part int, slots array<int>, values array<float>").toArrow()
+    # texts become features where they lie; only features meet in the limits, which hold the bounds exactly
+    feature = lambda part: part.mapInArrow(run, "part int, slots array<int>, values array<float>")
+    made = feature(positive).limit(max_positive).unionByName(feature(plain).limit(max_unlabelled)).toArrow()
     sets: tuple[list, list] = ([], [])
     for part, s, v in zip(made["part"].to_pylist(), made["slots"], made["values"], strict=True):
         sets[part].append((np.asarray(s.values), np.asarray(v.values)))
