@@ -10,9 +10,9 @@
   4. High-recall banding: BANDS keys of ROWS values. At J = 0.8 a pair shares a key with probability
      0.985, at 0.85 with 0.997, at 0.9 with 0.9998.
   5. Verification by exact Jaccard of the shingle sets: in lists of up to PAIRED lines, of all pairs; in longer
-     ones each member is held against one representative; members that fail become representatives in
-     turn, each held against the whole list, until none is left. A list of near copies is settled by its
-     first representative, so no long list of them is expanded into its pairs.
+     ones each member is held against one representative first, and then all pairs that are not yet in one
+     component are compared, block by block. A list of near copies is settled by its representative, so it is
+     not expanded into its pairs, and a pair that is not compared is in one component already.
   6. Distributed union-find over verified links; of each component the earliest line, by doc_id, then text
      hash, then line number, is kept, and every other occurrence of any of its lines is removed.
 
@@ -23,9 +23,7 @@ lines and then has an empty text; very long texts and lines are read whole.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmend.llm.common import components, id_key, stash, text_hash
@@ -36,10 +34,10 @@ ROWS, BANDS = 4, 8
 SIMILARITY = 0.8
 #: Lines of fewer shingles match only lines of the same shingles.
 MIN_SHINGLES = 9
-#: Lists up to this length are compared pair by pair; longer ones by representatives.
+#: Lists up to this length are compared pair by pair at once; longer ones after a first representative.
 PAIRED = 12
-#: Further representatives of a long list that are tried at a time.
-REPS = 32
+#: Members of a long list that one side of a row of comparisons holds.
+BLOCK = 64
 _SHINGLE = rf"(?=(.{{1,{WIDTH}}}))\S{{1,{STEP}}}\s*"
 
 
@@ -62,13 +60,13 @@ def _points() -> Column:
     return F.split(F.lit(",".join(str(-(1 << 63) + j * ((1 << 64) // k)) for j in range(k))), ",").cast("array<bigint>")
 
 
-def band_entries(docs: DataFrame) -> DataFrame:
-    """(key, lk): the band keys of every occurrence of a line; lk is the line's hash.
+def band_entries(lines: DataFrame) -> DataFrame:
+    """(key, lk): the band keys of lines (lk, line); lk is the line's hash.
 
     s holds a line's sorted distinct hashes, u the same with the points: a point's place in u tells how many hashes lie
     before it, and so which one is next. A line of few shingles can't have another within SIMILARITY unless
     nearly all are shared, and its values at the points would hardly differ; it has one key, of its whole set."""
-    rows = line_rows(docs).select(F.xxhash64("line").alias("lk"), F.sort_array(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("s"))
+    rows = lines.select("lk", F.sort_array(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("s"))
     few = F.size("s") < MIN_SHINGLES
     rows = rows.withColumn("u", F.when(few, F.array().cast("array<bigint>")).otherwise(F.sort_array(F.concat("s", _points()))))
     # a row for each band, so that the key is one short compiled expression
@@ -82,12 +80,19 @@ def band_entries(docs: DataFrame) -> DataFrame:
     return banded.select(F.when(F.col("b") < 0, whole).otherwise(F.xxhash64("b", *[value(r) for r in range(ROWS)])).alias("key"), "lk")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (lk, rep) with ok: whether their shingle sets' Jaccard is at least SIMILARITY. sets: (lk, shingles)."""
-    a = pairs.join(sets.withColumnRenamed("shingles", "x"), "lk")
-    b = a.join(sets.select(F.col("lk").alias("rep"), F.col("shingles").alias("y")), "rep")
-    common = F.size(F.array_intersect("x", "y"))
-    return b.select("lk", "rep", (common >= SIMILARITY * (F.size("x") + F.size("y") - common)).alias("ok"))
+def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (lk, rep) whose shingle sets' Jaccard is at least SIMILARITY. lines: (lk, line)."""
+    a = pairs.join(lines.withColumnRenamed("line", "x"), "lk")
+    b = a.join(lines.select(F.col("lk").alias("rep"), F.col("line").alias("y")), "rep")
+    b = b.select("lk", "rep", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
+    return b.where(_similar(F.col("x"), F.col("y"))).select("lk", "rep")
+
+
+def _similar(x: Column, y: Column) -> Column:
+    """Whether two sets' Jaccard is at least SIMILARITY; sets of too different sizes are not intersected."""
+    common = F.size(F.array_intersect(x, y))
+    sizes = F.least(F.size(x), F.size(y)) >= SIMILARITY * F.greatest(F.size(x), F.size(y))
+    return sizes & (common >= SIMILARITY * (F.size(x) + F.size(y) - common))
 
 
 def _pairs_within(lists: DataFrame) -> DataFrame:
@@ -96,39 +101,41 @@ def _pairs_within(lists: DataFrame) -> DataFrame:
     return lists.select(F.explode(F.flatten(at)).alias("p")).select("p.lk", "p.rep")
 
 
+def _links_across(whole: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame:
+    """(lk, rep) of every similar pair of a list's members that found's links leave in different components.
+
+    whole: (key, lk) of the long lists. Every pair of blocks of a list is one row, so that no task holds a list and no
+    pair becomes a row before it is verified."""
+    comps = stash(components(found.select(F.col("lk").alias("a"), F.col("rep").alias("b"))))
+    tagged = whole.join(comps.withColumnRenamed("node", "lk"), "lk", "left").select("key", "lk", F.coalesce("comp", "lk").alias("comp"))
+    mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    members = tagged.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("lk"), F.col("blocks")))
+    packs = stash(members.join(lines, "lk").groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("lk", "comp", "line")).alias("pack")))
+    first = packs.select("key", F.col("block").alias("i"), F.col("pack").alias("p"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    met = first.join(packs.select("key", F.col("block").alias("j"), F.col("pack").alias("q")), ["key", "j"])
+    hashed = lambda pack: F.transform(pack, lambda m: F.struct(
+        m["lk"].alias("lk"), m["comp"].alias("comp"), F.transform(shingles(m["line"]), lambda x: F.xxhash64(x)).alias("s")))
+    met = met.select((F.col("i") == F.col("j")).alias("same"), hashed("p").alias("p"), hashed("q").alias("q"))
+    asked = lambda x, y: (x["comp"] != y["comp"]) & (~F.col("same") | (x["lk"] < y["lk"])) & _similar(x["s"], y["s"])
+    pairs = F.transform("p", lambda x: F.transform(F.filter("q", lambda y: asked(x, y)), lambda y: F.struct(x["lk"].alias("lk"), y["lk"].alias("rep"))))
+    return met.select(F.explode(F.flatten(pairs)).alias("p")).select("p.lk", "p.rep").distinct()
+
+
 def similar_links(docs: DataFrame) -> DataFrame:
-    """(a, b) of verified links between distinct lines."""
+    """(a, b) of verified links between distinct lines; their components are those of all similar pairs that share a key."""
+    lines = stash(line_rows(docs).groupBy(F.xxhash64("line").alias("lk")).agg(F.first("line").alias("line")))
     # one shuffle by key serves the counting and the join
-    dealt = band_entries(docs).repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("lk").alias("lo"), F.max("lk").alias("hi")).where("lo <> hi").select("key")
-    entries = stash(dealt.join(shared.hint("shuffle_hash"), "key").distinct())
-    sizes = entries.groupBy("key").agg(F.count("*").alias("n"))
-    entries = entries.join(sizes, "key")
+    dealt = band_entries(lines).repartition("key")
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    entries = stash(dealt.join(shared.hint("shuffle_hash"), "key"))
     short = entries.where(F.col("n") <= PAIRED).groupBy("key").agg(F.sort_array(F.collect_list("lk")).alias("members"))
     whole = entries.where(F.col("n") > PAIRED).select("key", "lk")
     first = whole.join(whole.groupBy("key").agg(F.min("lk").alias("rep")), "key").where("lk <> rep")
-    # shingles only of the lines that share a key with another
-    wanted = stash(entries.select("lk").distinct())
-    texts = line_rows(docs).select(F.xxhash64("line").alias("lk"), "line")
-    sets = texts.join(wanted, "lk", "left_semi").groupBy("lk").agg(F.first("line").alias("line"))
-    # a shingle is kept as its 64-bit hash, a third of its size as text
-    sets = stash(sets.select("lk", F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x)).alias("shingles")))
-    checked = stash(verified(_pairs_within(short).unionByName(first.select("lk", "rep")).distinct(), sets))
-    links = [checked]
-    # members of long lists that fail against their representative wait for others, REPS of which at a time meet the whole list
-    hit = checked.where("ok").select("lk", "rep")
-    waiting = stash(first.join(hit, ["lk", "rep"], "left_anti").select("key", "lk"))
-    while not waiting.isEmpty():
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("lk"))
-        reps = stash(waiting.withColumn("rank", rank).where(F.col("rank") <= REPS).select("key", F.col("lk").alias("rep")))
-        asked = whole.join(reps, "key").where("lk <> rep")
-        found = stash(verified(asked.select("lk", "rep").distinct(), sets))
-        links.append(found)
-        left = waiting.join(reps, (waiting.key == reps.key) & (waiting.lk == reps.rep), "left_anti")
-        done = left.join(reps, "key").join(found.where("ok").select("lk", "rep"), ["lk", "rep"], "left_semi").select("key", "lk").distinct()
-        waiting = stash(left.join(done, ["key", "lk"], "left_anti"))
-    out = reduce(DataFrame.unionByName, links)
-    return out.where("ok").select(F.col("lk").alias("a"), F.col("rep").alias("b"))
+    links = stash(verified(_pairs_within(short).unionByName(first.select("lk", "rep")).distinct(), lines))
+    if not whole.isEmpty():
+        links = links.unionByName(stash(_links_across(whole, links, lines)))
+    return links.select(F.col("lk").alias("a"), F.col("rep").alias("b"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

@@ -144,3 +144,26 @@ def test_fuzzy_line_rows(odd, none, clashing):
     out = line_dedup.dedup_documents(clashing)
     assert out.columns == clashing.columns and out.count() == odd.count()
     assert {r.text for r in out.where("doc_id = 5").collect()} >= {"\n   \nshort"}
+
+
+def removed(docs):
+    return {(r.id0, r.hash, n) for r in line_dedup.removed_lines(docs).collect() for n in r.removed}
+
+
+def test_long_lists_are_compared_completely(spark, monkeypatch):
+    # one list of 100 lines: interlinked clusters whose members match different first representatives
+    monkeypatch.setattr(line_dedup, "band_entries", lambda lines: lines.select(F.lit(1).alias("key"), "lk"))
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    texts = []
+    for c in range(5):
+        words = [f"c{c}w{i}xyz" for i in range(40)]
+        for _ in range(20):
+            texts.append(" ".join(words))
+            words = [*words]
+            for k in rng.integers(0, 40, 2):
+                words[k] = f"new{rng.integers(1_000_000)}"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_removed(spark, docs)
+    assert len(texts) > 5 * line_dedup.PAIRED and len(want) > 50
+    assert removed(docs) == want
