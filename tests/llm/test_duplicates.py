@@ -167,3 +167,20 @@ def test_long_lists_are_compared_completely(spark, monkeypatch):
     want = brute_removed(spark, docs)
     assert len(texts) > 5 * line_dedup.PAIRED and len(want) > 50
     assert removed(docs) == want
+
+
+def test_recall_does_not_depend_on_length(spark, monkeypatch):
+    # pairs of sets of Jaccard 0.8 to 0.87 with n shingles together, by the share that has a common key
+    monkeypatch.setattr(line_dedup, "shingles", lambda line: F.split(line, " "))
+    sizes, trials = (10, 15, 20, 30, 60), 300
+    rows = []
+    for n in sizes:
+        for k in range(trials):
+            union = [f"n{n}k{k}x{i}" for i in range(n)]
+            rows += [(len(rows) + h, " ".join(union[n // 10 :] if h else union[: n - n // 10])) for h in (0, 1)]
+    keys = defaultdict(set)
+    for r in line_dedup.band_entries(spark.createDataFrame(rows, "lk long, line string")).collect():
+        keys[r.lk].add(r.key)
+    for at, n in enumerate(sizes):
+        lks = range(2 * at * trials, 2 * (at + 1) * trials, 2)
+        assert sum(bool(keys[k] & keys[k + 1]) for k in lks) >= 0.97 * trials, n
