@@ -7,7 +7,8 @@
   3. MinHash: ROWS * BANDS values, each the least of the shingles' hashes in an order of its own, so that each agrees
      with probability J whatever the number of shingles.
   4. High-recall banding: BANDS keys of ROWS values. At J = 0.8 a pair shares a key with probability
-     0.995, at 0.85 with 0.9994, at 0.9 with 0.99998.
+     0.995, at 0.85 with 0.9994, at 0.9 with 0.99998. Lines of at most SHORT shingles, and those that may be similar to one,
+     have their rarest shingles as keys instead (a prefix filter), by which every similar pair is found.
   5. Verification by exact Jaccard of the shingle sets: in lists of up to PAIRED lines, of all pairs; in longer
      ones each member is held against one representative first, and then all pairs that are not yet in one
      component are compared, block by block. A list of near copies is settled by its representative, so it is
@@ -31,8 +32,8 @@ MIN_CHARS = 25
 WIDTH, STEP = 12, 8
 ROWS, BANDS = 4, 10
 SIMILARITY = 0.8
-#: Lines of fewer shingles match only lines of the same shingles.
-MIN_SHINGLES = 9
+#: Pairs of which one line has at most so many shingles are found by their rarest shingles, without loss.
+SHORT = 24
 #: Lists up to this length are compared pair by pair at once; longer ones after a first representative.
 PAIRED = 12
 #: Members of a long list that one side of a row of comparisons holds.
@@ -64,14 +65,29 @@ def signatures(hashed: DataFrame) -> DataFrame:
     return each.groupBy("lk").agg(*least)
 
 
+def prefix_entries(hashed: DataFrame) -> DataFrame:
+    """(key, lk): of each of hashed's sets (lk, s) that may have a similar one of at most SHORT shingles, the rarest shingles.
+
+    Similar sets share at least SIMILARITY of each one's shingles, so in any common order of the shingles they share one of
+    those that are left over, and one more; the order by rarity keeps the lists short."""
+    # the sizes of similar sets differ by a factor of SIMILARITY at most
+    sets = hashed.where(F.size("s") <= int(SHORT / SIMILARITY + 1e-9))
+    each = sets.select("lk", F.size("s").alias("n"), F.explode("s").alias("x"))
+    common = each.groupBy("x").agg(F.count("*").alias("df"))
+    ranked = each.join(common, "x").groupBy("lk", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("r"))
+    # 1e-9: a product rounded up must not shorten the prefix
+    length = (F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1).cast("int")
+    return ranked.select(F.explode(F.slice("r", F.lit(1), length)["x"]).alias("x"), "lk").select(F.xxhash64(F.lit(-1), "x").alias("key"), "lk")
+
+
 def band_entries(lines: DataFrame) -> DataFrame:
-    """(key, lk): the band keys of lines (lk, line); lk is the line's hash.
+    """(key, lk): the keys of lines (lk, line); lk is the line's hash.
 
-    A line of few shingles has one key, of its whole set."""
+    A pair of which one has at most SHORT shingles meets by its rarest shingles, any other by bands."""
     hashed = lines.select("lk", F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x)).alias("s"))
-    few = hashed.where(F.size("s") < MIN_SHINGLES).select(F.xxhash64(F.lit(-1), F.sort_array("s")).alias("key"), "lk")
     bands = [F.xxhash64(F.lit(b), *[F.col(f"v{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return few.unionByName(signatures(hashed.where(F.size("s") >= MIN_SHINGLES)).select(F.explode(F.array(*bands)).alias("key"), "lk"))
+    banded = signatures(hashed.where(F.size("s") > SHORT)).select(F.explode(F.array(*bands)).alias("key"), "lk")
+    return banded.unionByName(prefix_entries(hashed))
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridmend.llm import common, line_dedup, simhash, unit_dedup
@@ -184,3 +185,23 @@ def test_recall_does_not_depend_on_length(spark, monkeypatch):
     for at, n in enumerate(sizes):
         lks = range(2 * at * trials, 2 * (at + 1) * trials, 2)
         assert sum(bool(keys[k] & keys[k + 1]) for k in lks) >= 0.97 * trials, n
+
+
+def test_short_sets_are_found_without_loss(spark):
+    # sets of 4 to 30 words as shingles, with one word more, less or other
+    rng = np.random.default_rng(11)
+    sets = []
+    for n in range(4, 31):
+        for _ in range(6):
+            words = [f"w{i}" for i in rng.choice(60, n, replace=False)]
+            sets += [words, words[1:], [*words, "extra"], [*words[:-1], "other"]]
+    texts = sorted({" ".join(sorted(w)) for w in sets})
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "lk long, line string")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(line_dedup, "shingles", lambda line: F.split(line, " "))
+        keys = defaultdict(set)
+        for r in line_dedup.band_entries(lines).collect():
+            keys[r.lk].add(r.key)
+    split = [set(t.split()) for t in texts]
+    near = [(i, j) for i, a in enumerate(split) for j, b in enumerate(split[:i]) if min(len(a), len(b)) <= 24 and len(a & b) >= 0.8 * len(a | b)]
+    assert len(near) > 300 and all(keys[i] & keys[j] for i, j in near)
