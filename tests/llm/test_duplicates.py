@@ -205,3 +205,22 @@ def test_short_sets_are_found_without_loss(spark):
     split = [set(t.split()) for t in texts]
     near = [(i, j) for i, a in enumerate(split) for j, b in enumerate(split[:i]) if min(len(a), len(b)) <= 24 and len(a & b) >= 0.8 * len(a | b)]
     assert len(near) > 300 and all(keys[i] & keys[j] for i, j in near)
+
+
+def test_small_edits_are_found(spark):
+    # lines of 10 to 20 words with one other character, and of 20 words with one other word
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 5)))
+    pairs = []
+    for n in range(10, 21):
+        for _ in range(5):
+            line = " ".join(word() for _ in range(n))
+            k = int(rng.integers(1, len(line) - 1))
+            pairs.append((line, line[:k] + "#" + line[k + 1 :]))
+    for _ in range(10):
+        words = [word() for _ in range(20)]
+        k = int(rng.integers(1, 19))
+        pairs.append((" ".join(words), " ".join([*words[:k], word(), *words[k + 1 :]])))
+    docs = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string")
+    found = {r.id0 for r in line_dedup.removed_lines(docs).collect()}
+    assert found <= {2 * i + 1 for i in range(len(pairs))} and len(found) >= 0.97 * len(pairs)
