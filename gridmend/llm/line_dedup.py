@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash, with DataFrame operations only.
 
-  1. Every line of at least ``MIN_CHARS`` characters, trimmed and lower-cased, is one node, named by its
-     64-bit hash; equal lines are one node from here on.
+  1. Every line that is not blank, trimmed and lower-cased, is one node, named by its 64-bit hash; equal lines are
+     one node from here on.
   2. Its shingles are the WIDTH characters at every place, kept as 64-bit hashes. One changed character of a line of
      50 characters, or one changed word of a line of 110, leaves Jaccard 0.8.
   3. MinHash: ROWS * BANDS values, each the least of the shingles' hashes in an order of its own, so that each agrees
@@ -16,7 +16,7 @@
   6. Distributed union-find over verified links; of each component the earliest line, by doc_id, then text
      hash, then line number, is kept, and every other occurrence of any of its lines is removed.
 
-Cases: shorter lines and blank lines are never removed; null doc_ids come last; null and empty texts have no lines;
+Cases: blank lines are never removed; null doc_ids come last; null and empty texts have no lines;
 rows that repeat doc_id and text are one document and keep the same lines; a document may lose all of its
 lines and then has an empty text; very long texts and lines are read whole.
 """
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from gridmend.llm.common import components, id_key, stash, text_hash
 
-MIN_CHARS = 25
 WIDTH = 5
 ROWS, BANDS = 4, 10
 SIMILARITY = 0.8
@@ -53,7 +52,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
         F.col("doc_id").isNull().alias("no_id"), id_key().alias("id0"), text_hash().alias("hash"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line")
     )
     rows = rows.withColumn("line", F.btrim(F.lower("line"), F.lit(" \t\r\v\f")))
-    return rows.where(F.length("line") >= MIN_CHARS)
+    return rows.where(F.length("line") > 0)
 
 
 def signatures(hashed: DataFrame) -> DataFrame:

@@ -224,3 +224,10 @@ def test_small_edits_are_found(spark):
     docs = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string")
     found = {r.id0 for r in line_dedup.removed_lines(docs).collect()}
     assert found <= {2 * i + 1 for i in range(len(pairs))} and len(found) >= 0.97 * len(pairs)
+
+
+def test_lines_of_any_length_take_part(spark):
+    texts = ["all rights reserved.\n\nab", "x\nAll rights reserved.\n", "ab\n \n这是一个没有空格的句子，也会重复出现。", "这是一个没有空格的句子，也会重复出现。\nx"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in line_dedup.mark_documents(docs).collect()}
+    assert got == {0: [], 1: [1], 2: [0], 3: [0, 1]}
