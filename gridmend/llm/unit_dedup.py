@@ -8,7 +8,8 @@ All others are removed, and their offsets in the original text are retained.
 Digests that occur once never leave the aggregation; the join that marks the other occurrences is on the
 digest, where Spark splits a frequent one.
 
-Cases: units of fewer than ``min_words`` words, such as headings, stay; null doc_ids come last; null and empty texts have
+Cases: units of fewer than ``min_words`` words stay, where a caller asks for that (op3 hashes all units; words are counted by
+blanks, which some scripts don't have); blank units stay; null doc_ids come last; null and empty texts have
 no units; rows that repeat doc_id and text are one document and keep the same units; very long texts are read whole.
 """
 
@@ -42,7 +43,10 @@ def units_of(text: str | None, kind: str = "line", min_words: int = MIN_WORDS) -
     out = []
     for m in _UNITS[kind].finditer(text or ""):
         n = normalise(m[0])
-        if n.count(" ") + 1 >= min_words:
+        if not n and min_words <= 1:
+            # without letters or digits a unit is compared as it stands, so that different rules and bullets stay apart
+            n = unicodedata.normalize("NFKC", m[0]).strip()
+        if n and n.count(" ") + 1 >= min_words:
             out.append((*m.span(), blake2b(n.encode("utf-8", "surrogatepass"), digest_size=16).digest()))
     return out
 

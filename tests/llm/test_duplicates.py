@@ -231,3 +231,12 @@ def test_lines_of_any_length_take_part(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.removed for r in line_dedup.mark_documents(docs).collect()}
     assert got == {0: [], 1: [1], 2: [0], 3: [0, 1]}
+
+
+def test_short_units_lose_repeats(spark, tmp_path):
+    from gridmend.llm.queries import op3_units
+
+    texts = ["这是一个没有空格的句子，也会重复出现。\nMenu\n---\n \n***", "menu\n这是一个没有空格的句子，也会重复出现。\nend", "---\n \nend."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.text) for r in op3_units(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, texts[0]), 1: (2, "end"), 2: (2, " ")}
