@@ -8,7 +8,8 @@ Test windows are runs of SIZE consecutive words of a benchmark item (an item of
      that the offset-adjusted lists of the other terms are intersected where the posting lies.
   3. Postings meet the windows of their anchor; the window's terms are intersected from the rarest
      on, each at its offset from the anchor. All of them present is an exact phrase match; for a proximity
-     match, ``near_terms`` of them within ``slop`` words of their place suffice.
+     match, ``near_terms`` of them within ``slop`` words of their place suffice, wherever the passage is laid. Of n terms then
+     the n - near_terms + 1 rarest are anchors, one of which must be present, so that no match is lost.
 
 The index is partitioned by document. What is shared with all tasks is the test terms, in blocks
 of TERMS_BLOCK; it grows with the benchmark, not with the corpus.
@@ -26,6 +27,8 @@ from gridmend.llm.common import ascii_lower, id_key, stash, text_hash
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SIZE = 10
+#: Terms of a window that op7's proximity matches hold.
+NEAR_TERMS = 8
 TERMS_BLOCK = 100_000
 
 
@@ -51,8 +54,9 @@ def term_frequencies(docs: DataFrame, terms: list[str]) -> DataFrame:
     return out.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def anchored(windows: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """Windows with their terms from the rarest on: (anchor, at, terms array<struct<off, term>>, item_ids).
+def anchored(windows: DataFrame, frequencies: DataFrame, near_terms: int | None = None) -> DataFrame:
+    """Windows with their terms from the rarest on: (anchor, at, first, window, terms array<struct<off, term>>, n, item_ids), a
+    row for each anchor, of which the rarest is ``first``.
 
     Equal windows of several items are one; offsets are relative to the anchor's place ``at``."""
     windows = windows.groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
@@ -62,11 +66,16 @@ def anchored(windows: DataFrame, frequencies: DataFrame) -> DataFrame:
         .groupBy("words")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("term"), F.col("pos")))).alias("r"))
     )
-    return windows.join(ranked, "words").select(
-        F.col("r")[0]["term"].alias("anchor"),
-        F.col("r")[0]["pos"].alias("at"),
-        F.transform("r", lambda t: F.struct((t["pos"] - F.col("r")[0]["pos"]).alias("off"), t["term"].alias("term"))).alias("terms"),
-        F.size("words").alias("n"),
+    n = F.size("words")
+    anchors = F.lit(1) if near_terms is None else n - F.least(F.lit(near_terms), n) + 1
+    each = windows.join(ranked, "words").select("*", F.posexplode(F.slice("r", F.lit(1), anchors)).alias("rank", "a"))
+    return each.select(
+        F.col("a")["term"].alias("anchor"),
+        F.col("a")["pos"].alias("at"),
+        (F.col("rank") == 0).alias("first"),
+        F.xxhash64("words").alias("window"),
+        F.transform("r", lambda t: F.struct((t["pos"] - F.col("a")["pos"]).alias("off"), t["term"].alias("term"))).alias("terms"),
+        n.alias("n"),
         "item_ids",
     )
 
@@ -100,8 +109,19 @@ def postings(docs: DataFrame, anchors: list[str], reach: int) -> DataFrame:
 def find_matches(docs: DataFrame, items: DataFrame, size: int = SIZE, near_terms: int | None = None, slop: int = 2) -> DataFrame:
     """(id0, hash, start, n, exact, item_ids) of every match: id0 and hash name the document (common.id_key and
     text_hash), start and n are its place in words. Without near_terms only exact phrases are returned."""
-    found = matches_by_posting(docs, items, size, near_terms, slop)
-    return found.select("id0", "hash", F.explode("found").alias("m")).select("id0", "hash", "m.start", "m.n", "m.exact", "m.item_ids")
+    return distinct_matches(matches_by_posting(docs, items, size, near_terms, slop))
+
+
+def distinct_matches(found: DataFrame) -> DataFrame:
+    """The matches of postings, one row each. A passage that satisfies proximity at several neighbouring places, or where its
+    exact phrase stands, is one match."""
+    rows = found.select("id0", "hash", F.explode("found").alias("m")).select("id0", "hash", "m.*")
+    starts = lambda which: F.sort_array(F.collect_set(F.when(which, F.col("start"))))
+    grouped = rows.groupBy("id0", "hash", "window").agg(starts(F.col("exact")).alias("e"), starts(~F.col("exact")).alias("p"), F.first("n").alias("n"), F.first("item_ids").alias("item_ids"))
+    clear = lambda a, x: ~F.exists("e", lambda y: F.abs(y - x) < F.col("n")) & F.coalesce(x - F.get(a, F.size(a) - 1) >= F.col("n"), F.lit(True))
+    near = F.aggregate("p", F.array().cast("array<int>"), lambda a, x: F.when(clear(a, x), F.concat(a, F.array(x))).otherwise(a))
+    places = F.concat(*[F.transform(c, lambda x: F.struct(x.alias("start"), F.lit(k).alias("exact"))) for c, k in ((F.col("e"), True), (near, False))])  # noqa: B023
+    return grouped.select("id0", "hash", "n", "item_ids", F.explode(places).alias("m")).select("id0", "hash", "m.start", "n", "m.exact", "item_ids")
 
 
 def matches_by_posting(docs: DataFrame, items: DataFrame, size: int = SIZE, near_terms: int | None = None, slop: int = 2) -> DataFrame:
@@ -111,18 +131,19 @@ def matches_by_posting(docs: DataFrame, items: DataFrame, size: int = SIZE, near
     windows = stash(windows_of(items, size))
     terms = sorted(r[0] for r in windows.select(F.explode("words").alias("t")).distinct().toLocalIterator())
     if not terms:
-        return spark.createDataFrame([], "id0 long, hash long, found array<struct<start int, n int, exact boolean, near boolean, item_ids array<long>>>")
-    tests = stash(anchored(windows, term_frequencies(words, terms)))
+        return spark.createDataFrame([], "id0 long, hash long, found array<struct<start int, n int, exact boolean, window long, item_ids array<long>>>")
+    tests = stash(anchored(windows, term_frequencies(words, terms), near_terms))
     anchors = sorted(r[0] for r in tests.select("anchor").distinct().toLocalIterator())
-    index = postings(words, anchors, size - 1 + (slop if near_terms else 0))
+    index = postings(words, anchors, size - 1 + (2 * slop if near_terms else 0))
     # the windows of an anchor meet its postings as one array, so that a frequent passage makes a row a posting
-    grouped = tests.groupBy("anchor").agg(F.collect_list(F.struct("at", "terms", "n", "item_ids")).alias("tests"))
+    grouped = tests.groupBy("anchor").agg(F.collect_list(F.struct("at", "first", "window", "terms", "n", "item_ids")).alias("tests"))
     met = index.join(grouped, index.term == grouped.anchor)
-    found = F.filter(
-        F.transform("tests", lambda t: F.struct(
-            (F.col("pos") - t["at"]).alias("start"), t["n"].alias("n"), _exact(t).alias("exact"), _near(t, near_terms, slop).alias("near"), t["item_ids"].alias("item_ids"))),
-        lambda m: m["exact"] | m["near"],
-    )
+    match = lambda t, start, exact: F.struct(
+        start.alias("start"), t["n"].alias("n"), F.lit(exact).alias("exact"), t["window"].alias("window"), t["item_ids"].alias("item_ids"))
+    found = F.transform(F.filter("tests", lambda t: t["first"] & _exact(t)), lambda t: match(t, F.col("pos") - t["at"], True))
+    if near_terms is not None:
+        near = F.filter("tests", lambda t: _may_be_near(t, near_terms))
+        found = F.concat(found, F.flatten(F.transform(near, lambda t: F.transform(_near(t, near_terms, slop), lambda d: match(t, F.col("pos") - t["at"] + d, False)))))
     return met.select("id0", "hash", found.alias("found")).where("size(found) > 0")
 
 
@@ -131,20 +152,34 @@ def _exact(test: Column) -> Column:
     return F.forall(test["terms"], lambda t: F.coalesce(F.get("around", F.col("lead") + t["off"]) == t["term"], F.lit(False)))
 
 
-def _near(test: Column, near_terms: int | None, slop: int) -> Column:
-    """Whether near_terms of the terms stand within slop words of their offset."""
-    if near_terms is None:
-        return F.lit(False)
-    place = lambda t: F.greatest(F.col("lead") + t["off"] - slop, F.lit(0))
-    hits = F.filter(test["terms"], lambda t: F.array_contains(F.slice("around", place(t) + 1, 2 * slop + 1), t["term"]))
-    return F.size(hits) >= F.least(F.lit(near_terms), test["n"])
+def _may_be_near(test: Column, near_terms: int) -> Column:
+    """Whether near_terms of the terms stand around the posting at all."""
+    return F.size(F.filter(test["terms"], lambda t: F.array_contains("around", t["term"]))) >= F.least(F.lit(near_terms), test["n"])
+
+
+def _near(test: Column, near_terms: int, slop: int) -> Column:
+    """By how many words, slop at most, the passage may be moved so that near_terms of the terms stand within slop words of
+    their place."""
+
+    def stands(t: Column, d: Column) -> Column:
+        at = F.col("lead") + t["off"] + d
+        first = F.greatest(at - slop, F.lit(0))
+        return F.array_contains(F.slice("around", first + 1, F.greatest(at + slop + 1 - first, F.lit(0))), t["term"])
+
+    moves = F.array(*[F.lit(d) for d in range(-slop, slop + 1)])
+    return F.filter(moves, lambda d: F.size(F.filter(test["terms"], lambda t: stands(t, d))) >= F.least(F.lit(near_terms), test["n"]))
 
 
-def mark_documents(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
+def mark_documents(docs: DataFrame, items: DataFrame, size: int = SIZE, near_terms: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_hit, item_ids) of every row of docs: words inside exact matches, and the sorted
-    ids, as strings, of the items found."""
+    ids, as strings, of the items found. With near_terms also n_near, the number of proximity matches that aren't exact."""
+    found = matches_by_posting(docs, items, size, near_terms)
+    if near_terms is not None:
+        found = stash(found)
+        near = distinct_matches(found).where(~F.col("exact")).groupBy("id0", "hash").agg(F.count("*").alias("n_near"))
+        found = found.select("id0", "hash", F.filter("found", lambda m: m["exact"]).alias("found")).where("size(found) > 0")
     # a document's matches come together as they would in one row: there are no more than it has words and windows
-    per_doc = matches_by_posting(docs, items, size).groupBy("id0", "hash").agg(F.flatten(F.collect_set("found")).alias("found"))
+    per_doc = found.groupBy("id0", "hash").agg(F.flatten(F.collect_set("found")).alias("found"))
     per_doc = per_doc.select(
         "id0",
         "hash",
@@ -164,8 +199,12 @@ def mark_documents(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataF
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("id0"), text_hash().alias("hash"), F.size(words_of(F.col("text"))).cast("long").alias("n_words")
     )
+    extra = []
+    if near_terms is not None:
+        rows = rows.join(near, ["id0", "hash"], "left")
+        extra = [F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")]
     return rows.join(per_doc, ["id0", "hash"], "left").select(
-        "doc_id", "id0", "hash", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("ids", F.array().cast("array<string>")).alias("item_ids")
+        "doc_id", "id0", "hash", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("ids", F.array().cast("array<string>")).alias("item_ids"), *extra
     )
 
 

@@ -74,9 +74,9 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gridmend.llm.decontaminate import mark_documents
+    from gridmend.llm.decontaminate import NEAR_TERMS, mark_documents
 
-    marked = mark_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    marked = mark_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near_terms=NEAR_TERMS)
     return marked.select(
         "doc_id",
         "n_words",
@@ -84,6 +84,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near",
     )
 
 

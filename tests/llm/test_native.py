@@ -112,3 +112,14 @@ def test_clean_documents_are_kept(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").join(queries.op10_quality(spark, "/root/testdata/sf0.01"), "doc_id")
     rows = [r for r in docs.collect() if not r.base_failed]
     assert sum(r.kept for r in rows) >= 0.97 * len(rows)
+
+
+def test_proximity_without_the_rarest_terms(spark, tmp_path):
+    words = [f"term{c}" for c in "abcdefghij"]
+    changed = [" ".join("misspelt" if i in gone else w for i, w in enumerate(words)) for gone in [(i,) for i in range(10)] + [(0, 9), (3, 4), (1, 2, 3)]]
+    moved = " ".join([*words[:4], "x", "y", *words[4:]])
+    spark.createDataFrame([(1, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [*changed, moved, " ".join(words), "nothing here"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_hit, r.n_near) for r in queries.op7_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {**{i: (0, 1) for i in range(12)}, 12: (0, 0), 13: (0, 1), 14: (10, 0), 15: (0, 0)}
