@@ -246,13 +246,12 @@ def fit(rows: list[tuple[str, str]], max_words: int = 150_000, steps: int = 60,
 
 def train(docs: DataFrame, usable: Column, max_rows: int = 400) -> LanguageCRF:
     """Fit on a sample of at most ``max_rows`` rows of each language, drawn by hash from all rows of docs where
-    ``usable`` (a condition on doc_id) holds and lang is not null."""
+    ``usable`` (a condition on doc_id) holds and lang is not null; every language takes part."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000_007)) / 1_000_000_007
-    share = F.lit(0.0)
-    for y, n in counts.items():
-        share = F.when(F.col("lang") == y, F.lit(max_rows / n)).otherwise(share)
+    shares = [F.lit(x) for y, n in sorted(counts.items()) for x in (y, max_rows / n)]
+    share = F.try_element_at(F.create_map(*shares), F.col("lang")) if shares else F.lit(0.0)
     # very long texts would crowd out the rest of the sample; scoring reads them whole
     drawn = rows.where(draw < share).where(F.length("text") <= 20_000).select("text", "lang").limit(max_rows * max(1, len(counts)))
     return fit(sorted((r["text"], r["lang"]) for r in drawn.toLocalIterator()))

@@ -72,3 +72,9 @@ def test_language_rows(crf, odd, none, clashing):
     assert {(2, "und"), (3, "und"), (6, "und")} <= got
     assert langid.label_documents(none, model).count() == 0 and langid.label_documents(clashing, model).count() == odd.count()
     assert langid.fit([]).predict(["text", None]) == [("und", 0.0)] * 2
+
+
+def test_every_language_is_trained(spark, monkeypatch):
+    monkeypatch.setattr(langid, "fit", lambda rows: {y for _, y in rows})
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i % 90}") for i in range(270)], "doc_id long, text string, lang string")
+    assert langid.train(docs, F.lit(True)) == {f"l{k}" for k in range(90)}
