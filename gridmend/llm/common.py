@@ -52,6 +52,35 @@ def drop_stash(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with table, which has one row a key and in ``count`` the number of rows that have the key.
+
+    Keys that hold more than a thousandth of all rows, of which there are fewer than a thousand, are broadcast, so that none of
+    them lands in one task; the others are shuffled. rows and table are read twice and should be cheap to read."""
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    limit = F.lit(total // 1000 + 1)
+    hot, cold = table.where(F.col(count) > limit), table.where(F.col(count) <= limit)
+    often = rows.join(F.broadcast(hot), key)
+    return often.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
+def named(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under made-up column names with the document key id0, hash, and the made-up name of each column: columns of any
+    name stay apart from those that an operator makes. unnamed() takes it back."""
+    names = {c: f"column {i}" for i, c in enumerate(docs.columns)}
+    keys = [id_key().alias("id0"), text_hash().alias("hash")]
+    return docs.select(*[F.col(quoted(c)).alias(n) for c, n in names.items()], *keys), names
+
+
+def unnamed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, under their own names, of rows made from named(docs)."""
+    return rows.select(*[F.col(f"`column {i}`").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def id_key() -> Column:
     """With text_hash, the document key: doc_id without nulls."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(0))

@@ -1,24 +1,27 @@
 """Fuzzy line deduplication by MinHash, with DataFrame operations only.
 
   1. Every line that is not blank, trimmed and lower-cased, is one node, named by its 64-bit hash; equal lines are
-     one node from here on.
-  2. Its shingles are the WIDTH characters at every place, kept as 64-bit hashes. One changed character of a line of
-     50 characters, or one changed word of a line of 110, leaves Jaccard 0.8.
-  3. MinHash: ROWS * BANDS values, each the least of the shingles' hashes in an order of its own, so that each agrees
-     with probability J whatever the number of shingles.
-  4. High-recall banding: BANDS keys of ROWS values. At J = 0.8 a pair shares a key with probability
-     0.995, at 0.85 with 0.9994, at 0.9 with 0.99998. Lines of at most SHORT shingles, and those that may be similar to one,
-     have their rarest shingles as keys instead (a prefix filter), by which every similar pair is found.
-  5. Verification by exact Jaccard of the shingle sets: in lists of up to PAIRED lines, of all pairs; in longer
-     ones each member is held against one representative first, and then all pairs that are not yet in one
-     component are compared, block by block. A list of near copies is settled by its representative, so it is
-     not expanded into its pairs, and a pair that is not compared is in one component already.
+     one node from here on, merged before anything else is done with them.
+  2. Its shingles are the WIDTH characters at every place, as 64-bit hashes. Two lines are similar if the Jaccard of their
+     sets of shingles and the ratio of their numbers of places both reach SIMILARITY. One changed character of a line of
+     50 characters, or one changed word of a line of 110, leaves them similar.
+  3. MinHash: of one random order, the shingles are dealt into BANDS bins by their hash, and the least and the greatest
+     hash of a bin, in two orders, are its values. Lines of 4 ** j * LEAST places and more first keep one shingle of 4 ** j, those of
+     the least hashes, which is the same choice in every line. Lines of fewer than FEW places have BANDS orders of their own
+     instead of bins. Lines near a bound between classes take part in both, so that no similar pair falls between.
+  4. High-recall banding: a bin's four values are a key. A pair at Jaccard 0.8 shares one of its keys with
+     probability 0.99 at least (the README has measured figures by length).
+  5. Each member of a list is held against its least member, if 80 bits of their MinHash values are as close as those
+     of a similar pair (at 0.8 all but some 0.01 % are), by exact Jaccard. Lists whose members are then not all in one component
+     are settled completely: members close to one of another component are found block by block, and all their pairs
+     compared by exact Jaccard, again block by block. So the components are those of all pairs that share a key, and a list of
+     near copies, which its least member settles, is not expanded into pairs.
   6. Distributed union-find over verified links; of each component the earliest line, by doc_id, then text
      hash, then line number, is kept, and every other occurrence of any of its lines is removed.
 
 Cases: blank lines are never removed; null doc_ids come last; null and empty texts have no lines;
 rows that repeat doc_id and text are one document and keep the same lines; a document may lose all of its
-lines and then has an empty text; very long texts and lines are read whole.
+lines and then has an empty text; very long texts and lines are read whole; other columns, whatever their names, pass unchanged.
 """
 
 from __future__ import annotations
@@ -26,140 +29,211 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridmend.llm.common import components, id_key, stash, text_hash
+from gridmend.llm.common import components, drop_stash, id_key, lookup, named, stash, text_hash, unnamed
 
 WIDTH = 5
-ROWS, BANDS = 4, 10
+BANDS = 10
 SIMILARITY = 0.8
-#: Pairs of which one line has at most so many shingles are found by their rarest shingles, without loss.
-SHORT = 24
-#: Lists up to this length are compared pair by pair at once; longer ones after a first representative.
-PAIRED = 12
-#: Members of a long list that one side of a row of comparisons holds.
-BLOCK = 64
-_SHINGLE = rf"(?s)(?=(.{{{WIDTH}}}))"
+#: Places from which a line's shingles are dealt into bins, those that it must keep, and the share of one class in the next.
+FEW, LEAST, STEP = 48, 64, 4
+#: Of 8 * BANDS bits, those in which similar lines may differ.
+APART = 18
+#: Members of a list that one side of a row of comparisons holds, by bits and by shingles.
+BLOCK, SET_BLOCK = 1024, 64
 
 
-def shingles(line: Column) -> Column:
-    """Distinct shingles of a normalised line, as 64-bit hashes; a line shorter than a shingle is one itself."""
-    found = F.when(F.length(line) < WIDTH, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_SHINGLE), 1))
-    return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
+def normal(line: Column) -> Column:
+    """The form in which a lower-cased line is compared."""
+    return F.when(line.rlike(r"[\t\r\x0B\f]"), F.btrim(line, F.lit(" \t\r\v\f"))).otherwise(F.trim(line))
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """(no_id, id0, hash, line_no, line): the lines that take part."""
-    rows = docs.select(
-        F.col("doc_id").isNull().alias("no_id"), id_key().alias("id0"), text_hash().alias("hash"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line")
-    )
-    rows = rows.withColumn("line", F.btrim(F.lower("line"), F.lit(" \t\r\v\f")))
-    return rows.where(F.length("line") > 0)
+def line_rows(docs: DataFrame, *cols: Column) -> DataFrame:
+    """(cols, line_no, lk, line) of the lines that take part, once for each occurrence."""
+    rows = docs.select(*cols, F.posexplode(F.split(F.lower(F.col("text").cast("string")), "\n")).alias("line_no", "line"))
+    rows = rows.withColumn("line", normal(F.col("line"))).where(F.length("line") > 0)
+    return rows.withColumn("lk", F.xxhash64("line"))
+
+
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """(lk, line), dealt by lk."""
+    return line_rows(docs).select("lk", "line").dropDuplicates(["lk"])
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(no_id, id0, hash, line_no, lk) of the lines that take part."""
+    return line_rows(docs, F.col("doc_id").isNull().alias("no_id"), id_key().alias("id0"), text_hash().alias("hash")).drop("line")
+
+
+def _class(places: Column) -> Column:
+    """The class of a line: it keeps one shingle of STEP ** class."""
+    return F.greatest(F.lit(0), F.floor(F.log(F.greatest(places, F.lit(1)) / LEAST) / F.log(F.lit(float(STEP))) + 1e-9)).cast("int")
 
 
-def signatures(hashed: DataFrame) -> DataFrame:
-    """(lk, v0, v1, ...) of hashed (lk, s array of shingle hashes): the ROWS * BANDS MinHash values.
+def measured(lines: DataFrame, *cols: str) -> DataFrame:
+    """lines (lk, line) with n, the places, and b, four bytes a character, instead of the line."""
+    return lines.select("lk", *cols, F.greatest(F.length("line") - (WIDTH - 1), F.lit(1)).alias("n"), F.encode("line", "UTF-32").alias("b"))
 
-    Value 2i is the least of the hashes dealt anew with i, value 2i + 1 the least of the same with their halves swapped."""
-    half = ROWS * BANDS // 2
-    each = hashed.select("lk", F.explode("s").alias("x")).select("lk", *[F.xxhash64("x", F.lit(i)).alias(f"x{i}") for i in range(half)])
-    least = [f(F.col(f"x{i}")).alias(f"v{2 * i + k}") for i in range(half) for k, f in enumerate((F.min, lambda c: F.min(F.shiftleft(c, 32))))]
-    return each.groupBy("lk").agg(*least)
 
+def shingles(lines: DataFrame, *cols: str) -> DataFrame:
+    """(lk, cols, x): a row for the shingle at each place of measured lines; a line shorter than a shingle is one itself."""
+    rows = lines.select("lk", *cols, "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return rows.select("lk", *cols, F.xxhash64(F.substring("b", F.col("i") * 4 + 1, F.lit(4 * WIDTH))).alias("x"))
 
-def prefix_entries(hashed: DataFrame) -> DataFrame:
-    """(key, lk): of each of hashed's sets (lk, s) that may have a similar one of at most SHORT shingles, the rarest shingles.
 
-    Similar sets share at least SIMILARITY of each one's shingles, so in any common order of the shingles they share one of
-    those that are left over, and one more; the order by rarity keeps the lists short."""
-    # the sizes of similar sets differ by a factor of SIMILARITY at most
-    sets = hashed.where(F.size("s") <= int(SHORT / SIMILARITY + 1e-9))
-    each = sets.select("lk", F.size("s").alias("n"), F.explode("s").alias("x"))
-    common = each.groupBy("x").agg(F.count("*").alias("df"))
-    ranked = each.join(common, "x").groupBy("lk", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("r"))
-    # 1e-9: a product rounded up must not shorten the prefix
-    length = (F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1).cast("int")
-    return ranked.select(F.explode(F.slice("r", F.lit(1), length)["x"]).alias("x"), "lk").select(F.xxhash64(F.lit(-1), "x").alias("key"), "lk")
+def signatures(lines: DataFrame) -> DataFrame:
+    """(lk, kind, k0, k1, ..., sig, sig2) of distinct lines (lk, line), dealt by lk: for each kind, which are -1 for orders of
+    their own and the classes from 0, the keys of the bands and the bits that stand for the values."""
+    n = F.col("n")
+    sized = measured(lines).select("lk", "n", "b", _class(n * SIMILARITY).alias("low"), _class(n / SIMILARITY).alias("high"))
+    step = STEP.bit_length() - 1
+    kept = shingles(sized, "n", "low", "high").where(f"low = 0 or shiftrightunsigned(x, 64 - {step} * low) = 0")
+    # a slot is a kind and a band
+    bin_of = lambda kind: (F.col(kind) * 16 + F.pmod("x", F.lit(BANDS))).cast("int")
+    own = F.array(*[F.lit(band - 16) for band in range(BANDS)])
+    both = (F.col("high") > F.col("low")) & F.expr(f"shiftrightunsigned(x, 64 - {step} * high) = 0")
+    slots = F.when(n < int(FEW * SIMILARITY), own).when(n < FEW, F.concat(own, F.array(bin_of("low")))).when(both, F.array(bin_of("low"), bin_of("high")))
+    rows = kept.select("lk", "x", F.explode(slots.otherwise(F.array(bin_of("low")))).alias("slot"))
+    rows = rows.select("lk", "slot", F.when(F.col("slot") < 0, F.xxhash64("x", "slot")).otherwise(F.col("x")).alias("x"))
+    turned = F.expr("shiftleft(x, 32) | shiftrightunsigned(x, 32)")
+    bands = rows.groupBy("lk", "slot").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min(turned).alias("c"), F.max(turned).alias("d"))
 
+    def bits(at: int) -> Column:
+        """A bit of each value, that neither the bin nor the order depends on."""
+        return F.expr(f"(shiftright(a, {at}) & 1) | (shiftright(b, {at - 1}) & 2) | (shiftright(c, {at + 30}) & 4) | (shiftright(d, {at + 29}) & 8)")
 
-def band_entries(lines: DataFrame) -> DataFrame:
-    """(key, lk): the keys of lines (lk, line); lk is the line's hash.
+    bands = bands.select("lk", F.expr("shiftright(slot, 4)").alias("kind"), F.expr("slot & 15").alias("band"), F.xxhash64("slot", "a", "b", "c", "d").alias("key"), bits(8).alias("u"), bits(12).alias("v"))
+    keys = [F.min(F.when(F.col("band") == i, F.col("key"))).alias(f"k{i}") for i in range(BANDS)]
+    sums = [F.expr(f"bit_or(shiftleft({c}, 4 * band))").alias(name) for c, name in (("u", "sig"), ("v", "sig2"))]
+    return bands.groupBy("lk", "kind").agg(*keys, *sums)
 
-    A pair of which one has at most SHORT shingles meets by its rarest shingles, any other by bands."""
-    hashed = lines.select("lk", shingles(F.col("line")).alias("s"))
-    bands = [F.xxhash64(F.lit(b), *[F.col(f"v{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    banded = signatures(hashed.where(F.size("s") > SHORT)).select(F.explode(F.array(*bands)).alias("key"), "lk")
-    return banded.unionByName(prefix_entries(hashed))
 
+def entries_of(signed: DataFrame) -> DataFrame:
+    """(key, lk, sig, sig2) of each band of signatures."""
+    return signed.select("lk", "sig", "sig2", F.explode(F.array(*[F.col(f"k{i}") for i in range(BANDS)])).alias("key")).where("key is not null")
 
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (lk, rep) whose shingle sets' Jaccard is at least SIMILARITY. lines: (lk, line)."""
-    a = pairs.join(lines.withColumnRenamed("line", "x"), "lk")
-    b = a.join(lines.select(F.col("lk").alias("rep"), F.col("line").alias("y")), "rep")
-    b = b.select("lk", "rep", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
-    return b.where(_similar(F.col("x"), F.col("y"))).select("lk", "rep")
+
+def _close(a: list[Column], b: list[Column]) -> Column:
+    x, y = (F.bit_count(u.bitwiseXOR(v)) for u, v in zip(a, b, strict=True))
+    return x + y <= APART
+
+
+def shingle_set(line: Column) -> Column:
+    """The distinct shingles of a line as an array."""
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{WIDTH}}}))"), 1)
+    return F.when(F.length(line) < WIDTH, F.array(line)).otherwise(F.array_distinct(found))
 
 
 def _similar(x: Column, y: Column) -> Column:
-    """Whether two sets' Jaccard is at least SIMILARITY; sets of too different sizes are not intersected."""
+    """Whether the Jaccard of two sets reaches SIMILARITY."""
     common = F.size(F.array_intersect(x, y))
-    sizes = F.least(F.size(x), F.size(y)) >= SIMILARITY * F.greatest(F.size(x), F.size(y))
-    return sizes & (common >= SIMILARITY * (F.size(x) + F.size(y) - common))
+    return common >= SIMILARITY * (F.size(x) + F.size(y) - common)
+
+
+def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(lk, line) of the lines asked for (lk)."""
+    return line_rows(docs).select("lk", "line").join(asked.distinct(), "lk", "left_semi").dropDuplicates(["lk"])
+
 
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The distinct pairs (lk, rep) that are similar. The shingles of both lines are counted by pair, so no row holds more than two lines."""
+    texts = stash(_texts(docs, pairs.select(F.explode(F.array("lk", "rep")).alias("lk"))))
+    both = pairs.join(texts, "lk").withColumnRenamed("line", "x").join(texts.select(F.col("lk").alias("rep"), F.col("line").alias("y")), "rep")
+    sizes = [F.greatest(F.length(c) - (WIDTH - 1), F.lit(1)) for c in "xy"]
+    both = both.select("lk", "rep", "x", "y", sizes[0].alias("n"), sizes[1].alias("m")).where(f"least(n, m) >= {SIMILARITY} * greatest(n, m)")
+    both = both.repartition("lk", "rep").select("lk", "rep", "n", "m", F.encode("x", "UTF-32").alias("x"), F.encode("y", "UTF-32").alias("y"))
+    rows = both.select("lk", "rep", "n", "x", "y", F.explode(F.sequence(F.lit(0), F.expr("n + m - 1"))).alias("i"))
+    part = F.when(F.col("i") < F.col("n"), F.substring("x", F.col("i") * 4 + 1, F.lit(4 * WIDTH))).otherwise(F.substring("y", (F.col("i") - F.col("n")) * 4 + 1, F.lit(4 * WIDTH)))
+    rows = rows.select("lk", "rep", F.xxhash64(part).alias("s"), F.when(F.col("i") < F.col("n"), 1).otherwise(2).alias("side"))
+    sides = rows.groupBy("lk", "rep", "s").agg(F.bit_or("side").alias("side"))
+    return sides.groupBy("lk", "rep").agg(F.count_if(F.col("side") == 3).alias("common"), F.count("*").alias("all")).where(f"common >= {SIMILARITY} * all").select("lk", "rep")
 
-def _pairs_within(lists: DataFrame) -> DataFrame:
-    """(lk, rep) pairs of lists (members array) of PAIRED members at most."""
-    at = F.transform("members", lambda x, i: F.transform(F.slice("members", i + 2, F.size("members")), lambda y: F.struct(y.alias("lk"), x.alias("rep"))))
-    return lists.select(F.explode(F.flatten(at)).alias("p")).select("p.lk", "p.rep")
 
+def _blocks(members: DataFrame, size: int, *cols: str) -> DataFrame:
+    """(key, same, p, q) for every pair of blocks of at most about ``size`` members of a list; p and q hold structs of cols."""
+    counted = members.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / size).alias("blocks"))
+    packs = members.join(counted, "key").withColumn("block", F.pmod(F.xxhash64("lk"), F.col("blocks")))
+    packs = stash(packs.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct(*cols)).alias("p")))
+    first = packs.select("key", F.col("block").alias("i"), "p", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    met = first.join(packs.select("key", F.col("block").alias("j"), F.col("p").alias("q")), ["key", "j"])
+    return met.select("key", (F.col("i") == F.col("j")).alias("same"), "p", "q")
 
-def _links_across(whole: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame:
-    """(lk, rep) of every similar pair of a list's members that found's links leave in different components.
 
-    whole: (key, lk) of the long lists. Every pair of blocks of a list is one row, so that no task holds a list and no
-    pair becomes a row before it is verified."""
+def links_across(lists: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(lk, rep): links between the components that found's links leave in the lists (key, n, lk, sig, sig2), so many that the
+    components become those of all similar pairs of members."""
     comps = stash(components(found.select(F.col("lk").alias("a"), F.col("rep").alias("b"))))
-    tagged = whole.join(comps.withColumnRenamed("node", "lk"), "lk", "left").select("key", "lk", F.coalesce("comp", "lk").alias("comp"))
-    mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    members = tagged.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("lk"), F.col("blocks")))
-    packs = stash(members.join(lines, "lk").groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("lk", "comp", "line")).alias("pack")))
-    first = packs.select("key", F.col("block").alias("i"), F.col("pack").alias("p"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-    met = first.join(packs.select("key", F.col("block").alias("j"), F.col("pack").alias("q")), ["key", "j"])
-    hashed = lambda pack: F.transform(pack, lambda m: F.struct(
-        m["lk"].alias("lk"), m["comp"].alias("comp"), shingles(m["line"]).alias("s")))
-    met = met.select((F.col("i") == F.col("j")).alias("same"), hashed("p").alias("p"), hashed("q").alias("q"))
-    asked = lambda x, y: (x["comp"] != y["comp"]) & (~F.col("same") | (x["lk"] < y["lk"])) & _similar(x["s"], y["s"])
-    pairs = F.transform("p", lambda x: F.transform(F.filter("q", lambda y: asked(x, y)), lambda y: F.struct(x["lk"].alias("lk"), y["lk"].alias("rep"))))
-    return met.select(F.explode(F.flatten(pairs)).alias("p")).select("p.lk", "p.rep").distinct()
+    # of two members the one has been held against the other
+    longer = lists.where("n > 2").join(comps.withColumnRenamed("node", "lk"), "lk", "left")
+    tagged = stash(longer.select("key", "n", "lk", "sig", "sig2", F.coalesce("comp", "lk").alias("comp")))
+    mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    tagged = tagged.join(mixed, "key", "left_semi")
+    other = lambda x, y: (x["comp"] != y["comp"]) & _close([x["sig"], x["sig2"]], [y["sig"], y["sig2"]])
+    # lists of a few members become pairs, the same pair of several lists once
+    few = tagged.where(F.col("n") <= SET_BLOCK).groupBy("key").agg(F.collect_list(F.struct("lk", "sig", "sig2", "comp")).alias("p"))
+    pair = lambda x, y: F.struct(x["lk"].alias("lk"), y["lk"].alias("rep"))
+    pairs = F.transform("p", lambda x: F.transform(F.filter("p", lambda y: (x["lk"] < y["lk"]) & other(x, y)), lambda y: pair(x, y)))
+    links = verified(stash(few.select(F.explode(F.flatten(pairs)).alias("l")).select("l.*").distinct()), docs)
+    many = tagged.where(F.col("n") > SET_BLOCK)
+    if many.isEmpty():
+        return links
+    # in lists of many, members close to one of another component are sought first, and then all of their pairs compared,
+    # of which one link is given for each two components
+    met = _blocks(many, BLOCK, "lk", "sig", "sig2", "comp")
+    near = lambda p, q: F.filter(p, lambda x: F.exists(q, lambda y: other(x, y)))
+    some = met.select("key", near("p", "q").alias("p"), near("q", "p").alias("q")).where("size(p) > 0")
+    asked = stash(some.select("key", F.explode(F.array_union("p", "q")).alias("m")).select("key", "m.*").distinct())
+    met = _blocks(asked.join(stash(_texts(docs, asked.select("lk"))), "lk"), SET_BLOCK, "lk", "sig", "sig2", "comp", "line")
+    with_set = lambda m: F.struct(m["lk"].alias("lk"), m["sig"].alias("sig"), m["sig2"].alias("sig2"), m["comp"].alias("comp"), F.length(m["line"]).alias("n"), shingle_set(m["line"]).alias("s"))
+    met = met.select("same", F.explode(F.array(F.struct(F.transform("p", with_set).alias("p"), F.transform("q", with_set).alias("q")))).alias("b")).select("same", "b.*")
+
+    def asks(x: Column, y: Column) -> Column:
+        n, m = (F.greatest(z["n"] - (WIDTH - 1), F.lit(1)) for z in (x, y))
+        sizes = F.least(n, m) >= SIMILARITY * F.greatest(n, m)
+        return other(x, y) & sizes & (~F.col("same") | (x["lk"] < y["lk"])) & _similar(x["s"], y["s"])
+
+    ends = lambda x, y: F.struct(F.least(x["comp"], y["comp"]).alias("lk"), F.greatest(x["comp"], y["comp"]).alias("rep"))
+    across = F.transform("p", lambda x: F.transform(F.filter("q", lambda y: asks(x, y)), lambda y: ends(x, y)))
+    return links.unionByName(met.select(F.explode(F.array_distinct(F.flatten(across))).alias("l")).select("l.*")).distinct()
 
 
 def similar_links(docs: DataFrame) -> DataFrame:
-    """(a, b) of verified links between distinct lines; their components are those of all similar pairs that share a key."""
-    lines = stash(line_rows(docs).groupBy(F.xxhash64("line").alias("lk")).agg(F.first("line").alias("line")))
-    # one shuffle by key serves the counting and the join
-    dealt = band_entries(lines).repartition("key")
-    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    entries = stash(dealt.join(shared.hint("shuffle_hash"), "key"))
-    short = entries.where(F.col("n") <= PAIRED).groupBy("key").agg(F.sort_array(F.collect_list("lk")).alias("members"))
-    whole = entries.where(F.col("n") > PAIRED).select("key", "lk")
-    first = whole.join(whole.groupBy("key").agg(F.min("lk").alias("rep")), "key").where("lk <> rep")
-    links = stash(verified(_pairs_within(short).unionByName(first.select("lk", "rep")).distinct(), lines))
-    if not whole.isEmpty():
-        links = links.unionByName(stash(_links_across(whole, links, lines)))
-    return links.select(F.col("lk").alias("a"), F.col("rep").alias("b"))
+    """(a, b) of links between distinct lines; their components are those of all similar pairs that share a key."""
+    signed = stash(signatures(distinct_lines(docs)))
+    entries = entries_of(signed)
+    # keys that hold a thousandth of all entries are few; a share of the lines is enough to name them all but surely, and it
+    # decides only where a list is counted
+    share = entries.where("pmod(lk, 64) = 0").groupBy("key").agg(F.count("*").alias("n"))
+    total = share.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = stash(share.where(F.col("n") > F.lit(max(8, total // 1000))).select("key"))
+    cold = entries.join(F.broadcast(hot), "key", "left_anti").repartition("key")  # hot has at most 1,000 rows
+    warm = entries.join(F.broadcast(hot), "key", "left_semi")
+    reps = [F.count("*").alias("n"), F.min("lk").alias("rep"), F.min_by("sig", "lk").alias("rep_sig"), F.min_by("sig2", "lk").alias("rep_sig2")]
+    lists = cold.join(cold.groupBy("key").agg(*reps).where("n > 1").hint("shuffle_hash"), "key")
+    lists = stash(lists.unionByName(warm.join(F.broadcast(warm.groupBy("key").agg(*reps).where("n > 1")), "key")))
+    pairs = stash(lists.where((F.col("lk") != F.col("rep")) & _close([F.col("sig"), F.col("sig2")], [F.col("rep_sig"), F.col("rep_sig2")])).select("lk", "rep").distinct())
+    links = stash(verified(pairs, docs))
+    more = stash(links_across(lists.select("key", "n", "lk", "sig", "sig2"), links, docs))
+    for t in (signed, hot, lists, pairs):
+        drop_stash(t)
+    return links.unionByName(more).select(F.col("lk").alias("a"), F.col("rep").alias("b"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(id0, hash, removed): the sorted numbers of the lines to remove, of each document that loses any."""
-    occurrences = stash(line_rows(docs).select(F.struct("no_id", "id0", "hash", "line_no").alias("rank"), F.xxhash64("line").alias("lk")))
-    firsts = occurrences.groupBy("lk").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
+    whole = stash(occurrences(docs))
+    rows = whole.select("lk", F.struct("no_id", "id0", "hash", "line_no").alias("rank"))
+    firsts = stash(rows.groupBy("lk").agg(F.min("rank").alias("first"), F.count("*").alias("n")))
     comps = stash(components(similar_links(docs)))
-    firsts = stash(firsts)
-    named = comps.join(firsts, comps.node == firsts.lk).select("lk", "comp", "first")
-    kept = named.groupBy("comp").agg(F.min("first").alias("keep"))
-    fuzzy = named.join(kept, "comp").select("lk", "keep")
-    exact = firsts.where("n > 1").join(fuzzy, "lk", "left_anti").select("lk", F.col("first").alias("keep"))
-    gone = occurrences.join(fuzzy.unionByName(exact), "lk").where("rank <> keep")
-    return gone.groupBy("rank.id0", "rank.hash").agg(F.sort_array(F.collect_set("rank.line_no")).alias("removed"))
+    member = comps.join(firsts, comps.node == firsts.lk).select("lk", "comp", "first", "n")
+    kept = member.groupBy("comp").agg(F.min("first").alias("keep"))
+    fuzzy = member.join(kept, "comp").select("lk", "keep", "n")
+    exact = firsts.where("n > 1").join(comps, firsts.lk == comps.node, "left_anti").select("lk", F.col("first").alias("keep"), "n")
+    keep = stash(fuzzy.unionByName(exact))
+    gone = lookup(rows, keep, "lk", "n").where("rank <> keep")
+    out = stash(gone.groupBy("rank.id0", "rank.hash").agg(F.sort_array(F.collect_set("rank.line_no")).alias("removed")))
+    for t in (whole, firsts, comps, keep):
+        drop_stash(t)
+    return out
 
 
 def mark_documents(docs: DataFrame) -> DataFrame:
@@ -174,10 +248,9 @@ def mark_documents(docs: DataFrame) -> DataFrame:
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """docs, with the texts rid of their removed lines."""
-    named = docs.withColumns({"__id": id_key(), "__hash": text_hash()})
-    gone = removed_lines(docs).select(F.col("id0").alias("__id"), F.col("hash").alias("__hash"), F.col("removed").alias("__removed"))
-    out = named.join(gone, ["__id", "__hash"], "left")
-    text = F.col("text").cast("string")
-    places = F.array_except(F.sequence(F.lit(0), F.size(F.split(text, "\n")) - 1), F.col("__removed"))
-    left = F.array_join(F.transform(places, lambda i: F.get(F.split(text, "\n"), i)), "\n")
-    return out.withColumn("text", F.when(F.col("__removed").isNull(), text).otherwise(left)).select(*docs.columns)
+    rows, names = named(docs)
+    out = rows.join(removed_lines(docs), ["id0", "hash"], "left")
+    text = F.col(names["text"]).cast("string")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    out = out.withColumn(names["text"], F.when(F.col("removed").isNull(), text).otherwise(left))
+    return unnamed(out, docs)

@@ -105,20 +105,30 @@ def test_paragraphs():
     assert [text[a:b] for a, b, _ in unit_dedup.units_of(text, "paragraph")] == text.split("\n\n")
 
 
+def five(line):
+    return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
+
+
+def alike(x, y):
+    """Jaccard of the sets of 5-character shingles, if the places' ratio reaches 0.8."""
+    places = sorted(max(1, len(z) - 4) for z in (x, y))
+    a, b = five(x), five(y)
+    return len(a & b) / len(a | b) if places[0] >= 0.8 * places[1] else 0
+
+
 def brute_removed(spark, docs):
     """Lines removed when every pair of distinct lines is compared."""
-    rows = line_dedup.line_rows(docs).select("no_id", "id0", "hash", "line_no", "line").distinct().collect()
+    rows = line_dedup.line_rows(docs, F.col("doc_id").isNull().alias("no_id"), common.id_key().alias("id0"), common.text_hash().alias("hash")).distinct().collect()
     texts = sorted({r.line for r in rows})
     at = {t: i for i, t in enumerate(texts)}
-    sets = [set(r.s) for r in spark.createDataFrame(list(enumerate(texts)), "i int, line string").select("i", line_dedup.shingles(F.col("line")).alias("s")).orderBy("i").collect()]
-    by = defaultdict(set)
-    for i, s in enumerate(sets):
-        for x in s:
+    by, links = defaultdict(set), set()
+    for i, t in enumerate(texts):
+        for x in five(t):
             by[x].add(i)
-    links = set()
-    for i, s in enumerate(sets):
+    for i, t in enumerate(texts):
+        s = five(t)
         for j, c in Counter(j for x in s for j in by[x] if j < i).items():
-            if c >= 0.8 * (len(s) + len(sets[j]) - c):
+            if c >= 0.4 * len(s) and alike(t, texts[j]) >= 0.8:
                 links.add((i, j))
     comp = closure(len(texts), links)
     first = {}
@@ -127,14 +137,16 @@ def brute_removed(spark, docs):
     return {(r.id0, r.hash, r.line_no) for r in rows} - set(first.values())
 
 
-def test_fuzzy_lines(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "PAIRED", 6)
+@pytest.mark.parametrize("block", [4, 64])
+def test_fuzzy_lines(spark, monkeypatch, block):
+    # lists of more than ``block`` members go through blocks of it
+    monkeypatch.setattr(line_dedup, "SET_BLOCK", block)
     base = [f"alpha{i}beta" for i in range(60)]
     near = [" ".join([*base[:k], "zzz", *base[k + 1 :]]) for k in range(0, 60, 2)]
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     docs = docs.unionByName(spark.createDataFrame(list(enumerate(near, 70_000)), "doc_id long, text string"))
     want = brute_removed(spark, docs)
-    got = {(r.id0, r.hash, n) for r in line_dedup.removed_lines(docs).collect() for n in r.removed}
+    got = removed(docs)
     assert len(want) > 30 and not got - want and len(got) >= 0.98 * len(want)
 
 
@@ -153,8 +165,9 @@ def removed(docs):
 
 def test_long_lists_are_compared_completely(spark, monkeypatch):
     # one list of 100 lines: interlinked clusters whose members match different first representatives
-    monkeypatch.setattr(line_dedup, "band_entries", lambda lines: lines.select(F.lit(1).alias("key"), "lk"))
-    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    monkeypatch.setattr(line_dedup, "entries_of", lambda signed: signed.groupBy("lk").agg(F.min("sig").alias("sig"), F.min("sig2").alias("sig2")).withColumn("key", F.lit(1)))
+    for name, value in (("BLOCK", 16), ("SET_BLOCK", 16), ("APART", 80)):
+        monkeypatch.setattr(line_dedup, name, value)
     rng = np.random.default_rng(5)
     texts = []
     for c in range(5):
@@ -166,45 +179,30 @@ def test_long_lists_are_compared_completely(spark, monkeypatch):
                 words[k] = f"new{rng.integers(1_000_000)}"
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = brute_removed(spark, docs)
-    assert len(texts) > 5 * line_dedup.PAIRED and len(want) > 50
+    assert len(want) > 50
     assert removed(docs) == want
 
 
-def test_recall_does_not_depend_on_length(spark, monkeypatch):
-    # pairs of sets of Jaccard 0.8 to 0.87 with n shingles together, by the share that has a common key
-    monkeypatch.setattr(line_dedup, "shingles", lambda line: F.split(line, " "))
-    sizes, trials = (10, 15, 20, 30, 60), 300
-    rows = []
-    for n in sizes:
-        for k in range(trials):
-            union = [f"n{n}k{k}x{i}" for i in range(n)]
-            rows += [(len(rows) + h, " ".join(union[n // 10 :] if h else union[: n - n // 10])) for h in (0, 1)]
-    keys = defaultdict(set)
-    for r in line_dedup.band_entries(spark.createDataFrame(rows, "lk long, line string")).collect():
+def test_recall_does_not_depend_on_length(spark):
+    # pairs of Jaccard 0.8 to 0.87 by the length of the line, by the share that has a common key and close bits
+    rng = np.random.default_rng(3)
+    letters, lengths, trials, pairs = list("abcdefghijklmnopqrstuvwxyz    "), (14, 30, 45, 60, 80, 150, 300, 600, 1300), 100, []
+    for n in lengths:
+        while len(pairs) % trials or not pairs or len(pairs[-1][0]) != n:
+            x = "".join(["q", *rng.choice(letters, n - 2), "q"])
+            places = rng.integers(0, n, max(1, round(n * 0.02))) if n > 40 else [n - 1]
+            y = "".join("#" if i in places else c for i, c in enumerate(x))
+            if 0.8 <= alike(x, y) <= (0.87 if n > 45 else 0.95):
+                pairs.append((x, y))
+    lines = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "lk long, line string")
+    keys, bits = defaultdict(set), {}
+    for r in line_dedup.entries_of(line_dedup.signatures(lines)).collect():
         keys[r.lk].add(r.key)
-    for at, n in enumerate(sizes):
-        lks = range(2 * at * trials, 2 * (at + 1) * trials, 2)
-        assert sum(bool(keys[k] & keys[k + 1]) for k in lks) >= 0.97 * trials, n
-
-
-def test_short_sets_are_found_without_loss(spark):
-    # sets of 4 to 30 words as shingles, with one word more, less or other
-    rng = np.random.default_rng(11)
-    sets = []
-    for n in range(4, 31):
-        for _ in range(6):
-            words = [f"w{i}" for i in rng.choice(60, n, replace=False)]
-            sets += [words, words[1:], [*words, "extra"], [*words[:-1], "other"]]
-    texts = sorted({" ".join(sorted(w)) for w in sets})
-    lines = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "lk long, line string")
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(line_dedup, "shingles", lambda line: F.split(line, " "))
-        keys = defaultdict(set)
-        for r in line_dedup.band_entries(lines).collect():
-            keys[r.lk].add(r.key)
-    split = [set(t.split()) for t in texts]
-    near = [(i, j) for i, a in enumerate(split) for j, b in enumerate(split[:i]) if min(len(a), len(b)) <= 24 and len(a & b) >= 0.8 * len(a | b)]
-    assert len(near) > 300 and all(keys[i] & keys[j] for i, j in near)
+        bits[r.lk, r.key] = r.sig % (1 << 64), r.sig2 % (1 << 64)
+    close = lambda i, k: sum((a ^ b).bit_count() for a, b in zip(bits[2 * i, k], bits[2 * i + 1, k], strict=True)) <= line_dedup.APART
+    found = [any(close(i, k) for k in keys[2 * i] & keys[2 * i + 1]) for i in range(len(pairs))]
+    for at, n in enumerate(lengths):
+        assert sum(found[at * trials : (at + 1) * trials]) >= 0.97 * trials, n
 
 
 def test_small_edits_are_found(spark):
