@@ -1,21 +1,23 @@
 """Benchmark decontamination by a distributed positional inverted index, with DataFrame operations only.
 
 Test windows are runs of SIZE consecutive words of a benchmark item (an item of fewer words is one window).
-  1. Document frequencies of the test terms are counted over all documents.
-  2. Each window is searched from its rarest terms. The index holds the postings (document, term,
-     position) of those anchors in all documents; the frequent terms' lists, which would hold
-     most of the corpus, are never shuffled: a posting carries the words around its position, so
-     that the offset-adjusted lists of the other terms are intersected where the posting lies.
-  3. Postings meet the windows of their anchor; the window's terms are intersected from the rarest
-     on, each at its offset from the anchor. All of them present is an exact phrase match; for a proximity
-     match, ``near_terms`` of them within ``slop`` words of their place suffice, wherever the passage is laid. Of n terms then
-     the n - near_terms + 1 rarest are anchors, one of which must be present, so that no match is lost.
-
-The index is partitioned by document. What is shared with all tasks is the test terms, in blocks
-of TERMS_BLOCK; it grows with the benchmark, not with the corpus.
+  1. The index: every document is parted into words once, and its words are stored by position in the shared folder,
+     partitioned by document. A term's postings (document, position) are read from it; nothing reads the texts again.
+  2. The lengths of the test terms' posting lists, over all documents, rank the terms of each window.
+  3. Each window is searched from its rarest terms, the anchors. Postings of an anchor meet its windows, and the
+     lists of the window's other terms are intersected where the posting lies, at their offsets from it: first those of the
+     next rarest terms, then, for the few that are left, all others. All terms present is an exact phrase match; for a
+     proximity match, ``near_terms`` of them within ``slop`` words of their place suffice, wherever the passage is laid.
+     Of n terms then the n - near_terms + 1 rarest are anchors, one of which must be present, and one more of the next rarest as well, so that no
+     match is lost.
+
+No posting list is shuffled, so a frequent term is never one task's: the windows, in blocks of TESTS_BLOCK rows (a
+bound in bytes, since a row holds some SIZE words), are broadcast to the index, with a pass over it for each block. What meets by document is
+only matches. Nothing reaches the driver but counts.
 
 Cases: null and empty texts have no words and no hits; items without words are never found; repeated items
-count by item_id; rows that repeat doc_id and text are one document; very long texts are indexed whole.
+count by item_id; rows that repeat doc_id and text are one document; very long texts are indexed whole; clean_documents passes
+other columns, whatever their names, unchanged, and mark_documents leaves them out.
 """
 
 from __future__ import annotations
@@ -23,18 +25,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridmend.llm.common import ascii_lower, id_key, stash, text_hash
+from gridmend.llm.common import ascii_lower, drop_stash, id_key, named, stash, text_hash, unnamed
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SIZE = 10
 #: Terms of a window that op7's proximity matches hold.
 NEAR_TERMS = 8
-TERMS_BLOCK = 100_000
+#: Rows of windows that are broadcast at once; a row is a window and one of its anchors, of some hundred bytes.
+TESTS_BLOCK = 200_000
 
 
 def words_of(text: Column) -> Column:
     """Array of the words of a text; empty for null."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text.cast("string")), F.lit(f"({WORD})"), 1), F.array().cast("array<string>"))
+    # what stands between words, each run once: only the first and the last part can be empty
+    parts = F.split(ascii_lower(text.cast("string")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    return F.coalesce(F.array_remove(parts, ""), F.array().cast("array<string>"))
 
 
 def windows_of(items: DataFrame, size: int) -> DataFrame:
@@ -44,72 +49,51 @@ def windows_of(items: DataFrame, size: int) -> DataFrame:
     return items.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("w", i + 1, size))).alias("words")).distinct()
 
 
-def term_frequencies(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(term, df): in how many rows of docs (with the array w) each of the terms occurs."""
-    out = None
-    for lo in range(0, len(terms), TERMS_BLOCK):
-        block = terms[lo : lo + TERMS_BLOCK]
-        part = docs.select(F.explode(F.array_distinct(F.filter("w", lambda x: x.isin(block)))).alias("term"))  # noqa: B023
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("term").agg(F.count("*").alias("df"))
+def index_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, id0, hash, n_words, w): the words of every row of docs by position, stored."""
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("id0"), text_hash().alias("hash"), words_of(F.col("text")).alias("w"))
+    # explode keeps the words from being made anew for each use
+    words = words.select("doc_id", "id0", "hash", F.explode(F.array("w")).alias("w"))
+    return stash(words.select("doc_id", "id0", "hash", F.size("w").alias("n_words"), "w"))
+
+
+def term_frequencies(index: DataFrame) -> DataFrame:
+    """(term, df): the length of each term's posting list."""
+    return index.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def anchored(windows: DataFrame, frequencies: DataFrame, near_terms: int | None = None) -> DataFrame:
-    """Windows with their terms from the rarest on: (anchor, at, first, window, terms array<struct<off, term>>, n, item_ids), a
-    row for each anchor, of which the rarest is ``first``.
+    """Windows with their terms from the rarest on: (anchor, at, first, window, terms array<struct<off, term>>, others, n,
+    item_ids), a row for each anchor, of which the rarest is ``first``. One of others, the next rarest terms, must be near too.
 
     Equal windows of several items are one; offsets are relative to the anchor's place ``at``."""
     windows = windows.groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     terms = windows.select("words", F.posexplode("words").alias("pos", "term"))
+    used = stash(frequencies.join(terms.select("term").distinct(), "term", "left_semi"))
     ranked = (
-        terms.join(frequencies, "term", "left")
+        terms.join(used, "term", "left")
         .groupBy("words")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("term"), F.col("pos")))).alias("r"))
     )
     n = F.size("words")
-    anchors = F.lit(1) if near_terms is None else n - F.least(F.lit(near_terms), n) + 1
-    each = windows.join(ranked, "words").select("*", F.posexplode(F.slice("r", F.lit(1), anchors)).alias("rank", "a"))
+    missing = F.lit(0) if near_terms is None else n - F.least(F.lit(near_terms), n)
+    each = windows.join(ranked, "words").select("*", F.posexplode(F.slice("r", F.lit(1), missing + 1)).alias("rank", "a"))
     return each.select(
         F.col("a")["term"].alias("anchor"),
         F.col("a")["pos"].alias("at"),
         (F.col("rank") == 0).alias("first"),
         F.xxhash64("words").alias("window"),
         F.transform("r", lambda t: F.struct((t["pos"] - F.col("a")["pos"]).alias("off"), t["term"].alias("term"))).alias("terms"),
+        F.transform(F.filter(F.slice("r", F.lit(1), missing + 2), lambda t: t["pos"] != F.col("a")["pos"]), lambda t: t["term"]).alias("others"),
         n.alias("n"),
         "item_ids",
     )
 
 
-def postings(docs: DataFrame, anchors: list[str], reach: int) -> DataFrame:
-    """(id0, hash, term, pos, lead, around): each place of an anchor with up to ``reach`` words on both sides; lead is
-    how many of them stand before the place. Positions count from 0."""
-    out = None
-    for lo in range(0, len(anchors), TERMS_BLOCK):
-        block = anchors[lo : lo + TERMS_BLOCK]
-        places = F.filter(F.transform("w", lambda x, i: F.when(x.isin(block), i)), lambda i: i.isNotNull())  # noqa: B023
-        found = docs.withColumn("places", places).where("size(places) > 0")
-        found = found.select(
-            "id0",
-            "hash",
-            F.explode(
-                F.transform(
-                    "places",
-                    lambda i: F.struct(
-                        F.get("w", i).alias("term"), i.alias("pos"), F.least(i, F.lit(reach)).alias("lead"),
-                        F.slice("w", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + reach + 1).alias("around"),
-                    ),
-                )
-            ).alias("p"),
-        )
-        part = found.select("id0", "hash", "p.*")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def find_matches(docs: DataFrame, items: DataFrame, size: int = SIZE, near_terms: int | None = None, slop: int = 2) -> DataFrame:
     """(id0, hash, start, n, exact, item_ids) of every match: id0 and hash name the document (common.id_key and
     text_hash), start and n are its place in words. Without near_terms only exact phrases are returned."""
-    return distinct_matches(matches_by_posting(docs, items, size, near_terms, slop))
+    return distinct_matches(matches_by_posting(index_of(docs), items, size, near_terms, slop))
 
 
 def distinct_matches(found: DataFrame) -> DataFrame:
@@ -124,40 +108,49 @@ def distinct_matches(found: DataFrame) -> DataFrame:
     return grouped.select("id0", "hash", "n", "item_ids", F.explode(places).alias("m")).select("id0", "hash", "m.start", "n", "m.exact", "item_ids")
 
 
-def matches_by_posting(docs: DataFrame, items: DataFrame, size: int = SIZE, near_terms: int | None = None, slop: int = 2) -> DataFrame:
-    """(id0, hash, found): the matches, as in find_matches, of each posting that has any."""
-    spark = docs.sparkSession
-    words = docs.select(id_key().alias("id0"), text_hash().alias("hash"), words_of(F.col("text")).alias("w"))
+def matches_by_posting(index: DataFrame, items: DataFrame, size: int = SIZE, near_terms: int | None = None, slop: int = 2) -> DataFrame:
+    """(id0, hash, found): the matches, as in find_matches, of each posting of the index that has any."""
     windows = stash(windows_of(items, size))
-    terms = sorted(r[0] for r in windows.select(F.explode("words").alias("t")).distinct().toLocalIterator())
-    if not terms:
-        return spark.createDataFrame([], "id0 long, hash long, found array<struct<start int, n int, exact boolean, window long, item_ids array<long>>>")
-    tests = stash(anchored(windows, term_frequencies(words, terms), near_terms))
-    anchors = sorted(r[0] for r in tests.select("anchor").distinct().toLocalIterator())
-    index = postings(words, anchors, size - 1 + (2 * slop if near_terms else 0))
-    # the windows of an anchor meet its postings as one array, so that a frequent passage makes a row a posting
-    grouped = tests.groupBy("anchor").agg(F.collect_list(F.struct("at", "first", "window", "terms", "n", "item_ids")).alias("tests"))
-    met = index.join(grouped, index.term == grouped.anchor)
-    match = lambda t, start, exact: F.struct(
-        start.alias("start"), t["n"].alias("n"), F.lit(exact).alias("exact"), t["window"].alias("window"), t["item_ids"].alias("item_ids"))
-    found = F.transform(F.filter("tests", lambda t: t["first"] & _exact(t)), lambda t: match(t, F.col("pos") - t["at"], True))
+    tests = stash(anchored(windows, term_frequencies(index), near_terms).withColumn("part", F.xxhash64("anchor", "window", "at")))
+    blocks = -(-tests.count() // TESTS_BLOCK)
+    out = None
+    for k in range(max(1, blocks)):
+        block = tests.where(F.pmod("part", F.lit(max(1, blocks))) == k)
+        found = _met(index, F.broadcast(block), size - 1 + (2 * slop if near_terms else 0), near_terms, slop)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _met(index: DataFrame, tests: DataFrame, reach: int, near_terms: int | None, slop: int) -> DataFrame:
+    postings = index.select("id0", "hash", "w", F.posexplode("w").alias("pos", "term"))
+    met = postings.join(tests, postings.term == tests.anchor)
+    lead = F.least("pos", F.lit(reach))
+    around = F.slice("w", F.col("pos") - lead + 1, lead + (reach + 1))
+    met = met.where((F.size("others") == 0) | F.arrays_overlap(around, "others"))
+    # explode keeps the surroundings from being made anew for each use
+    met = met.select("id0", "hash", "pos", "at", "first", "window", "terms", "n", "item_ids", lead.alias("lead"), F.explode(F.array(around)).alias("around"))
+    match = lambda start, exact: F.struct(
+        start.alias("start"), F.col("n").alias("n"), F.lit(exact).alias("exact"), F.col("window").alias("window"), F.col("item_ids").alias("item_ids"))
+    start = F.col("pos") - F.col("at")
+    either = lambda cond, rows, like: F.when(cond, rows).otherwise(F.slice(F.array(like), 1, 0))
+    found = either(F.col("first") & _exact(), F.array(match(start, True)), match(start, True))
     if near_terms is not None:
-        near = F.filter("tests", lambda t: _may_be_near(t, near_terms))
-        found = F.concat(found, F.flatten(F.transform(near, lambda t: F.transform(_near(t, near_terms, slop), lambda d: match(t, F.col("pos") - t["at"] + d, False)))))
-    return met.select("id0", "hash", found.alias("found")).where("size(found) > 0")
+        moved = F.transform(_near(near_terms, slop), lambda d: match(start + d, False))
+        found = F.concat(found, either(_may_be_near(near_terms), moved, match(start, False)))
+    return met.select("id0", "hash", F.explode(F.array(found)).alias("found")).where("size(found) > 0")
 
 
-def _exact(test: Column) -> Column:
+def _exact() -> Column:
     """Whether every term, from the rarest on, stands at its offset from the posting's place."""
-    return F.forall(test["terms"], lambda t: F.coalesce(F.get("around", F.col("lead") + t["off"]) == t["term"], F.lit(False)))
+    return F.forall("terms", lambda t: F.coalesce(F.get("around", F.col("lead") + t["off"]) == t["term"], F.lit(False)))
 
 
-def _may_be_near(test: Column, near_terms: int) -> Column:
+def _may_be_near(near_terms: int) -> Column:
     """Whether near_terms of the terms stand around the posting at all."""
-    return F.size(F.filter(test["terms"], lambda t: F.array_contains("around", t["term"]))) >= F.least(F.lit(near_terms), test["n"])
+    return F.size(F.filter("terms", lambda t: F.array_contains("around", t["term"]))) >= F.least(F.lit(near_terms), F.col("n"))
 
 
-def _near(test: Column, near_terms: int, slop: int) -> Column:
+def _near(near_terms: int, slop: int) -> Column:
     """By how many words, slop at most, the passage may be moved so that near_terms of the terms stand within slop words of
     their place."""
 
@@ -167,15 +160,15 @@ def _near(test: Column, near_terms: int, slop: int) -> Column:
         return F.array_contains(F.slice("around", first + 1, F.greatest(at + slop + 1 - first, F.lit(0))), t["term"])
 
     moves = F.array(*[F.lit(d) for d in range(-slop, slop + 1)])
-    return F.filter(moves, lambda d: F.size(F.filter(test["terms"], lambda t: stands(t, d))) >= F.least(F.lit(near_terms), test["n"]))
+    return F.filter(moves, lambda d: F.size(F.filter("terms", lambda t: stands(t, d))) >= F.least(F.lit(near_terms), F.col("n")))
 
 
 def mark_documents(docs: DataFrame, items: DataFrame, size: int = SIZE, near_terms: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_hit, item_ids) of every row of docs: words inside exact matches, and the sorted
     ids, as strings, of the items found. With near_terms also n_near, the number of proximity matches that aren't exact."""
-    found = matches_by_posting(docs, items, size, near_terms)
+    index = index_of(docs)
+    found = stash(matches_by_posting(index, items, size, near_terms))
     if near_terms is not None:
-        found = stash(found)
         near = distinct_matches(found).where(~F.col("exact")).groupBy("id0", "hash").agg(F.count("*").alias("n_near"))
         found = found.select("id0", "hash", F.filter("found", lambda m: m["exact"]).alias("found")).where("size(found) > 0")
     # a document's matches come together as they would in one row: there are no more than it has words and windows
@@ -196,9 +189,7 @@ def mark_documents(docs: DataFrame, items: DataFrame, size: int = SIZE, near_ter
         ),
     )["covered"]
     per_doc = per_doc.select("id0", "hash", fold.alias("hit"), F.array_sort(F.transform("ids", lambda i: i.cast("string"))).alias("ids"))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("id0"), text_hash().alias("hash"), F.size(words_of(F.col("text"))).cast("long").alias("n_words")
-    )
+    rows = index.select("doc_id", "id0", "hash", F.col("n_words").cast("long").alias("n_words"))
     extra = []
     if near_terms is not None:
         rows = rows.join(near, ["id0", "hash"], "left")
@@ -210,6 +201,7 @@ def mark_documents(docs: DataFrame, items: DataFrame, size: int = SIZE, near_ter
 
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows of docs in which no window occurs."""
-    hit = matches_by_posting(docs, items, size).select(F.col("id0").alias("__id"), F.col("hash").alias("__hash")).distinct()
-    named = docs.withColumns({"__id": id_key(), "__hash": text_hash()})
-    return named.join(hit, ["__id", "__hash"], "left_anti").select(*docs.columns)
+    index = index_of(docs)
+    hit = stash(matches_by_posting(index, items, size).select("id0", "hash").distinct())
+    drop_stash(index)
+    return unnamed(named(docs)[0].join(hit, ["id0", "hash"], "left_anti"), docs)
