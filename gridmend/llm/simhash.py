@@ -2,19 +2,20 @@
 
 Two 64-bit fingerprints within 3 differing bits disagree in at most 3 of their 8 bytes, so they share at
 least 5 positional bytes. The index lists fingerprints by positional bytes; a list holds the
-fingerprints that agree at three positions. Of any 5 shared positions at least 3 lie in one half of
-the fingerprint, so the four triples of each half, eight lists a fingerprint, meet every linked pair.
+fingerprints that agree at four positions. Fourteen sets of four positions suffice to have one inside any five: each
+half of the fingerprint, and two positions of each half whose pairs belong to the same way to pair a half off.
 In a list the shared positional bytes of a pair are tallied, pairs that reach the guaranteed 5 are
 kept, and those are verified by their Hamming distance.
 
-Scale: equal fingerprints are one entry (copies never form pairs); a list is joined only if it has
-two entries; a list of any length is dealt as pairs of blocks of BLOCK entries, each pair a task of
+Scale: equal fingerprints are one entry (copies never form pairs) and find their component by a lookup that broadcasts the few
+most frequent; a list is kept only if it has two entries; a list of any length is dealt as pairs of blocks of BLOCK entries, each pair a task of
 bounded size, and a block emits the links of a spanning forest instead of all pairs, which keeps
 every component whole. Components are found by the distributed union-find in common.py.
 
 Cases: no words gives fingerprint zero, linked like any other; null text counts as no words; null
 doc_ids group with equal nulls and never are the smallest unless all are null; repeated rows give
-repeated results; very long texts are hashed whole.
+repeated results; very long texts are hashed whole; one_per_group passes other columns, whatever their names, unchanged, and
+group_documents leaves them out.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmend.llm.common import components, id_key, stash, text_hash
+from gridmend.llm.common import components, lookup, named, stash, text_hash, unnamed
 
 #: Fixed by the fingerprints: bits that may differ, and the shared positional bytes that this guarantees.
 MAX_BITS, MIN_SHARED = 3, 5
-TRIPLES = [(a, b, c) for h in (0, 4) for a in range(h, h + 4) for b in range(a + 1, h + 4) for c in range(b + 1, h + 4)]
+#: The three ways to pair off the positions of a half, and the sets of positions whose bytes name a list.
+PAIRINGS = (((0, 1), (2, 3)), ((0, 2), (1, 3)), ((0, 3), (1, 2)))
+QUADS = [(0, 1, 2, 3), (4, 5, 6, 7), *((*a, b[0] + 4, b[1] + 4) for way in PAIRINGS for a in way for b in way)]
 #: Entries of a list that one side of a task holds.
 BLOCK = 4096
 #: Lists up to this length are compared many lists at once.
@@ -118,13 +121,10 @@ def links(fps: DataFrame) -> DataFrame:
 
     fps: distinct fingerprints in column fp."""
     byte = [F.shiftrightunsigned("fp", 8 * k).bitwiseAND(255) for k in range(8)]
-    keys = [
-        F.lit(i) * F.lit(1 << 24) + byte[a] * F.lit(1 << 16) + byte[b] * F.lit(1 << 8) + byte[c]
-        for i, (a, b, c) in enumerate(TRIPLES)
-    ]
+    keys = [F.lit(i << 32) + sum((byte[k] * F.lit(1 << 8 * at) for at, k in enumerate(quad)), F.lit(0)) for i, quad in enumerate(QUADS)]
     entries = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    lists = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    entries = entries.join(lists, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    lists = stash(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    entries = lookup(entries, lists, "key", "n").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
     pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(
@@ -163,22 +163,21 @@ def group_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp, root, component_id) of every row of docs; root is a fingerprint that names the
     component, component_id the smallest doc_id reachable over links, null if the component has none."""
     prints = stash(fingerprints(docs))
-    distinct = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    distinct = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     comps = components(links(distinct.select("fp")))
     roots = comps.join(distinct, comps.node == distinct.fp).groupBy("comp").agg(F.min("first_id").alias("component_id"))
     member = comps.join(roots, "comp").select(F.col("node").alias("fp"), "comp", "component_id")
     whole = distinct.join(member, "fp", "left").select(
-        "fp", F.coalesce("comp", "fp").alias("root"), F.when(F.col("comp").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")
+        "fp", "n", F.coalesce("comp", "fp").alias("root"), F.when(F.col("comp").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")
     )
-    return prints.join(whole, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    return lookup(prints, stash(whole), "fp", "n").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
     """The rows of docs with one document of each group: the one of the smallest doc_id, and of rows
     that share that doc_id the one of the smallest text hash; of repeated rows one."""
     groups = group_documents(docs)
-    no_id = F.col("doc_id").isNull()
-    best = groups.groupBy("root").agg(F.min(F.struct(no_id.alias("no_id"), id_key().alias("__id"), F.col("text_hash").alias("__hash"))).alias("best"))
-    named = docs.withColumns({"__id": id_key(), "__hash": text_hash()})
-    kept = named.join(best.select("best.__id", "best.__hash"), ["__id", "__hash"], "left_semi")
-    return kept.dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id0"), F.col("text_hash").alias("hash"))
+    best = stash(groups.groupBy("root").agg(F.min(rank).alias("best")).select("best.id0", "best.hash"))
+    kept = named(docs)[0].join(best, ["id0", "hash"], "left_semi")
+    return unnamed(kept.dropDuplicates(["id0", "hash"]), docs)

@@ -6,9 +6,9 @@ class prior p and logistic loss l, the risk estimator is
 the class-prior-corrected risk whose negative part is kept from falling below zero; when a batch
 drives it below zero, the step goes up that part's gradient instead.
 
-The training sample is bounded (``max_positive``, ``max_unlabelled`` rows, drawn by hash from the whole table);
-its hashed features are made on the executors, and only those reach the driver. Scoring reads whole
-texts in Arrow batches.
+The training sample is bounded (``max_positive``, ``max_unlabelled`` rows, those of the least hashes in the whole table). Its
+hashed features are made, and the ``max_features`` that set toxic rows apart most are chosen, on the executors; the
+driver gets these alone. Scoring reads whole texts in Arrow batches.
 
 Cases: null and empty texts have no words and get the model's bias as score; doc_ids with several
 labels are toxic if any label is; without a positive example every score is 0; repeated rows give repeated
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridmend.llm.common import drop_stash, named, quoted, stash, text_hash, unnamed
+
 DIMS = 1 << 18
 #: Characters of a word's beginning that make a feature of its own: inflected words share it.
 PREFIX = 5
@@ -149,51 +151,99 @@ def fit(
     return Model(weights, float(b), float(prior))
 
 
+def sample_of(docs: DataFrame, labels: DataFrame, usable: Column, max_positive: int, max_unlabelled: int) -> DataFrame:
+    """(doc_id, hash, part): the rows of docs to train on, those of the least hashes of their doc_id: part 1 of toxic rows,
+    part 0 of all usable rows. It has max_positive + max_unlabelled rows at most, whatever the number of documents."""
+    rows = docs.where(usable & F.col("doc_id").isNotNull()).select("doc_id", text_hash().alias("hash"), F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)).alias("draw"))
+    toxic = rows.join(labels.where(usable & (F.col("toxic") == 1)).select("doc_id").distinct(), "doc_id")
+
+    def least(rows: DataFrame, n: int) -> DataFrame:
+        # four times as many as needed, so that repeated rows are told apart among a few
+        share = min(1.0, 4 * n / max(1, rows.count()))
+        return rows.where(F.col("draw") < int(share * (1 << 40))).distinct().orderBy("draw", "doc_id", "hash").limit(n).select("doc_id", "hash")
+
+    positive, plain = least(toxic, max_positive), least(rows, max_unlabelled)
+    return positive.withColumn("part", F.lit(1)).unionByName(plain.withColumn("part", F.lit(0)))
+
+
+def contrasting(made: DataFrame, min_rows: int, max_features: int) -> list[int]:
+    """The slots that fit would use, found on the executors. made: (part, slots, values)."""
+    sizes = {r["part"]: r["count"] for r in made.groupBy("part").count().collect()}  # two rows
+    p, u = (F.lit(float(max(1, sizes.get(k, 0)))) for k in (1, 0))
+    each = made.select("part", F.explode(F.arrays_zip("slots", "values")).alias("z")).select("part", "z.slots", F.col("z.values").cast("double").alias("v"))
+    of = lambda part, x: F.sum(F.when(F.col("part") == part, x).otherwise(0.0))
+    v = F.col("v")
+    sums = each.groupBy("slots").agg(F.count("*").alias("seen"), of(1, v).alias("p1"), of(1, v * v).alias("p2"), of(0, v).alias("u1"), of(0, v * v).alias("u2"))
+    mp, mu = F.col("p1") / p, F.col("u1") / u
+    spread = F.sqrt((F.col("p2") / p - mp * mp) / p + (F.col("u2") / u - mu * mu) / u + 1e-12)
+    used = sums.where((F.col("seen") >= min(min_rows, sizes.get(1, 0))) & (mp >= LIFT * mu) & (mp > mu)).select("slots", ((mp - mu) / spread).alias("contrast"))
+    return [r[0] for r in used.orderBy(F.desc("contrast"), "slots").limit(max_features).collect()]
+
+
 def train(
-    docs: DataFrame, labels: DataFrame, usable: Column, max_positive: int = 3000, max_unlabelled: int = 9000
+    docs: DataFrame, labels: DataFrame, usable: Column, max_positive: int = 3000, max_unlabelled: int = 9000, min_rows: int = 5, max_features: int = 300
 ) -> Model:
     """Fit on rows of docs where ``usable`` (a condition on doc_id) holds; labels have doc_id and toxic. The
-    class prior is the toxic share of the usable labelled rows."""
+    class prior is the toxic share of the usable labelled rows. At most ``max_positive`` toxic and ``max_unlabelled`` other rows are
+    drawn, by least hash, so that a rerun draws the same; of their features ``max_features`` are used. Only these reach the driver."""
     marks = labels.where(usable & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     toxic, marked = marks.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     if not toxic or not marked:
         return fit([], [], 0.0)
-    total = docs.where(usable).count()
-    rows = docs.where(usable & F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000_007)) / 1_000_000_007
-    wanted = marks.where("toxic = 1").where(draw < max_positive / toxic).select("doc_id", F.lit(1).alias("part"))
-    positive = rows.join(wanted, "doc_id").select("part", "text")
-    plain = rows.where(draw < max_unlabelled / max(1, total)).select(F.lit(0).alias("part"), "text")
+    chosen = stash(sample_of(docs, labels, usable, max_positive, max_unlabelled))
+    rows = docs.select("doc_id", text_hash().alias("hash"), F.col("text").cast("string").alias("text"))
+    texts = rows.join(F.broadcast(chosen), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash", "part"]).select("part", "text")  # chosen is bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [features(t.as_py()) for t in batch.column(1)]
+            found = [features(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s for s, _ in made], pa.list_(pa.int32())), pa.array([v for _, v in made], pa.list_(pa.float32()))],
+                [batch.column(0), pa.array([s for s, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))],
+                ["part", "slots", "values"],
+            )
+
+    made = stash(texts.mapInArrow(run, "part int, slots array<int>, values array<float>"))
+    used = np.array(sorted(contrasting(made, min_rows, max_features)), np.int32)
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(np.asarray(s.values), np.asarray(v.values)) for s, v in zip(batch.column(1), batch.column(2), strict=True)]
+            kept = [(s[k], v[k]) for s, v in pairs for k in [np.isin(s, used)]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([s for s, _ in kept], pa.list_(pa.int32())), pa.array([v for _, v in kept], pa.list_(pa.float32()))],
                 ["part", "slots", "values"],
             )
 
-    # texts become features where they lie; only features meet in the limits, which hold the bounds exactly
-    feature = lambda part: part.mapInArrow(run, "part int, slots array<int>, values array<float>")
-    made = feature(positive).limit(max_positive).unionByName(feature(plain).limit(max_unlabelled)).toArrow()
     sets: tuple[list, list] = ([], [])
-    for part, s, v in zip(made["part"].to_pylist(), made["slots"], made["values"], strict=True):
-        sets[part].append((np.asarray(s.values), np.asarray(v.values)))
-    return fit(sets[1], sets[0], min(0.95, toxic / marked))
+    for r in made.mapInArrow(reduce, made.schema).toLocalIterator():
+        sets[r[0]].append((np.array(r[1], np.int32), np.array(r[2], np.float32)))
+    drop_stash(chosen)
+    drop_stash(made)
+    return fit(sets[1], sets[0], min(0.95, toxic / marked), min_rows=min_rows, max_features=max_features)
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column toxicity (0 to 1)."""
+def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with a column toxicity (0 to 1) of the column ``text``, last; a column of that name is replaced."""
     fields = [f for f in docs.schema.fields if f.name != "toxicity"]
     names = [f.name for f in fields]
-    schema = docs.select(*[F.col(f"`{n}`") for n in names]).withColumn("toxicity", F.lit(0.0)).schema
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.prior))
-    at = names.index("text")
+    cols = docs.select(*[F.col(quoted(n)) for n in names])
+    schema = cols.withColumn("toxicity", F.lit(0.0)).schema
+    used = np.flatnonzero(model.weights)
+    weights, bias, prior = model.weights[used], model.bias, model.prior
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
+        m = Model(np.zeros(DIMS, np.float32), bias, prior)
+        m.weights[used] = weights
         for batch in batches:
             scores = pa.array([m.score(t.as_py()) for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*names, "toxicity"])
 
-    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)
+    return cols.mapInArrow(run, schema)
+
+
+def clean_documents(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of docs that score below ``limit``, with all of their columns, whatever their names."""
+    rows, names = named(docs)
+    rows = rows.withColumn(names["text"], F.col(f"`{names['text']}`").cast(docs.schema["text"].dataType))
+    return unnamed(score_documents(rows, model, names["text"]).where(F.col("toxicity") < limit), docs)

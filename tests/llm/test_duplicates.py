@@ -238,3 +238,29 @@ def test_short_units_lose_repeats(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_removed, r.text) for r in op3_units(spark, str(tmp_path)).collect()}
     assert got == {0: (0, texts[0]), 1: (2, "end"), 2: (2, " ")}
+
+
+def test_any_five_positions_hold_a_list():
+    from itertools import combinations
+
+    assert len(simhash.QUADS) == 14
+    assert all(any(set(q) <= set(five_) for q in simhash.QUADS) for five_ in combinations(range(8), 5))
+
+
+def test_columns_of_any_name_pass(spark):
+    from gridmend.llm import decontaminate, toxicity
+
+    names = ["__id", "__hash", "a.b", "removed", "toxicity", "id0", "hash", "column 1", "we`ird"]
+    text = "the same line of a text that is long enough\nand more"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text + "\nother words that are new"), (3, None), (None, "")], "doc_id long, text string")
+    docs = docs.select("*", *[F.lit(f"kept {n}").alias(n) for n in names])
+    items = spark.createDataFrame([(1, "nothing of this")], "item_id long, text string")
+    model = toxicity.Model(np.zeros(toxicity.DIMS, np.float32), -1.0, 0.1)
+    for name, out in (
+        ("lines", line_dedup.dedup_documents(docs)), ("simhash", simhash.one_per_group(docs)),
+        ("decontamination", decontaminate.clean_documents(docs, items)), ("toxicity", toxicity.clean_documents(docs, model)),
+    ):
+        rows = out.collect()
+        assert out.columns == docs.columns and rows, name
+        assert all(r[2:] == tuple(f"kept {n}" for n in names) for r in rows), name
+        assert len(rows) == (len({(r.doc_id, r.text) for r in docs.collect()}) - 1 if name == "simhash" else 5), name
