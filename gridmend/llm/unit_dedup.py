@@ -3,14 +3,19 @@
 Units are a text's lines, or its paragraphs (parted by blank lines). Each is normalised (NFKC, case-folded,
 only letters, digits and single blanks left) and hashed to 128 bits on the executors; digests are grouped globally, by
 a partial aggregation, and the earliest ranked occurrence of each (by doc_id, then text hash, then place) stays.
-All others are removed, and their offsets in the original text are retained.
+The others are removed, and their offsets in the original text are retained: a text is the original without its removed spans.
 
-Digests that occur once never leave the aggregation; the join that marks the other occurrences is on the
-digest, where Spark splits a frequent one.
+Neighbouring units that all occur more than once, blank units between them aside, are a passage. ``min_passage`` is the number of words
+from which passages take part: with 1, the default, every repeated unit is removed; op3 asks for MIN_PASSAGE words, because
+short lines that many documents share (headings, menus, set phrases) are no copied passages and their removal would touch
+most clean documents. All units are hashed and grouped in either case. Characters of scripts without blanks count as words.
 
-Cases: units of fewer than ``min_words`` words stay, where a caller asks for that (op3 hashes all units; words are counted by
-blanks, which some scripts don't have); blank units stay; null doc_ids come last; null and empty texts have
-no units; rows that repeat doc_id and text are one document and keep the same units; very long texts are read whole.
+Digests that occur once never leave the aggregation; occurrences meet their digest's first one by a lookup that broadcasts the few
+most frequent digests, so that none is one task's.
+
+Cases: blank units stay; null doc_ids come last; null and empty texts have no units; rows that repeat doc_id and text are one
+document and keep the same units; very long texts are read whole; other columns pass unchanged, whatever their names, but
+for removed and n_shared, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,13 +25,17 @@ import unicodedata
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmend.llm.common import id_key, stash, text_hash
+from gridmend.llm.common import drop_stash, id_key, lookup, named, stash, text_hash
 
-MIN_WORDS = 5
+#: Words from which op3 takes a repeated passage for a copy.
+MIN_PASSAGE = 20
+#: Scripts without blanks: a character counts as a word.
+_UNPARTED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n]+(?:\n[^\n]*\S[^\n]*)*")}
 _BREAK = re.compile(r"[\W_]+")
 
@@ -38,63 +47,77 @@ def normalise(unit: str) -> str:
     return _BREAK.sub(" ", unit.casefold()).strip()
 
 
-def units_of(text: str | None, kind: str = "line", min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the units that take part."""
+def units_of(text: str | None, kind: str = "line") -> list[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest) of the units that aren't blank; the line end behind a unit belongs to it."""
     out = []
     for m in _UNITS[kind].finditer(text or ""):
         n = normalise(m[0])
-        if not n and min_words <= 1:
+        if not n:
             # without letters or digits a unit is compared as it stands, so that different rules and bullets stay apart
             n = unicodedata.normalize("NFKC", m[0]).strip()
-        if n and n.count(" ") + 1 >= min_words:
-            out.append((*m.span(), blake2b(n.encode("utf-8", "surrogatepass"), digest_size=16).digest()))
+        if n:
+            words = n.count(" ") + 1 + (0 if n.isascii() else len(_UNPARTED.findall(n)))
+            out.append((m.start(), m.end() + (m.end() < len(text)), words, blake2b(n.encode("utf-8", "surrogatepass"), digest_size=16).digest()))
     return out
 
 
-def hashed_units(docs: DataFrame, kind: str, min_words: int) -> DataFrame:
-    """(no_id, id0, hash, start, end, digest) of every unit of docs."""
+def hashed_units(docs: DataFrame, kind: str) -> DataFrame:
+    """(no_id, id0, hash, no, start, end, words, digest) of every unit of docs; no counts a document's units."""
+    names = ["no_id", "id0", "hash", "no", "start", "end", "words", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                found = [units_of(t.as_py(), kind, min_words) for t in part.column(3)]
+                found = [units_of(t.as_py(), kind) for t in part.column(3)]
                 row = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+                no = pa.array([k for f in found for k in range(len(f))], pa.int64())
                 flat = [u for f in found for u in f]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(part.column(c).take(row) for c in range(3)),
-                        pa.array([u[0] for u in flat], pa.int64()),
-                        pa.array([u[1] for u in flat], pa.int64()),
-                        pa.array([u[2] for u in flat], pa.binary()),
-                    ],
-                    ["no_id", "id0", "hash", "start", "end", "digest"],
-                )
+                ints = [pa.array([u[c] for u in flat], pa.int64()) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in range(3)), no, *ints, pa.array([u[3] for u in flat], pa.binary())], names)
 
     rows = docs.select(F.col("doc_id").isNull().alias("no_id"), id_key().alias("id0"), text_hash().alias("hash"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "no_id boolean, id0 long, hash long, start long, end long, digest binary")
-
-
-def removed_units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id0, hash, n_units, removed array<struct<start, end>>) of each document that loses any."""
-    units = stash(hashed_units(docs, kind, min_words))
-    rank = F.struct("no_id", "id0", "hash", "start")
-    firsts = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = units.join(firsts, "digest").where(rank != F.col("first"))
-    return gone.groupBy("id0", "hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
-
-
-def dedup_documents(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the texts rid of repeated units, and with ``removed``: their spans in the original texts."""
-    fields = [c for c in docs.columns if c != "removed"]
-    named = docs.select(*[F.col(f"`{c}`") for c in fields], id_key().alias("__id"), text_hash().alias("__hash"))
-    gone = removed_units(docs, kind, min_words).select(F.col("id0").alias("__id"), F.col("hash").alias("__hash"), F.col("removed").alias("__removed"))
-    out = named.join(gone, ["__id", "__hash"], "left")
-    text = F.col("text").cast("string")
-    # what stands between the removed spans, each span with the line end behind it
-    ends = F.transform("__removed", lambda s, i: F.when(i == 0, F.lit(0)).otherwise(F.get("__removed", i - 1)["end"] + 1))
-    between = F.transform(F.arrays_zip(F.col("__removed.start").alias("a"), ends.alias("b")), lambda z: F.substring(text, (z["b"] + 1).cast("int"), (z["a"] - z["b"]).cast("int")))
-    tail = F.substring(text, (F.element_at("__removed", -1)["end"] + 2).cast("int"), F.length(text))
-    left = F.regexp_replace(F.concat(F.array_join(between, ""), tail), r"\n$", "")
-    spans = F.coalesce("__removed", F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    return out.withColumn("text", F.when(F.col("__removed").isNull(), text).otherwise(left)).select(*fields, spans.alias("removed"))
+    return rows.mapInArrow(run, "no_id boolean, id0 long, hash long, no long, start long, end long, words long, digest binary")
+
+
+def removed_units(docs: DataFrame, kind: str = "line", min_passage: int = 1) -> DataFrame:
+    """(id0, hash, removed array<struct<start, end>>, n_shared) of each document with passages that take part: the spans to
+    remove, and the number of its units in such passages that other documents hold as well, whoever holds them first."""
+    units = stash(hashed_units(docs, kind))
+    rank, doc = F.struct("no_id", "id0", "hash", "no"), F.struct("id0", "hash")
+    firsts = units.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.min(doc).alias("a"), F.max(doc).alias("b"), F.count("*").alias("n"))
+    firsts = stash(firsts.where("first <> last").select("digest", "first", (F.col("a") != F.col("b")).alias("shared"), "n"))
+    repeated = lookup(units, firsts, "digest", "n").select("id0", "hash", "no", "start", "end", "words", (rank != F.col("first")).alias("gone"), "shared").distinct()
+    # in a run of neighbours the place and the number among the repeated units grow alike
+    run = F.col("no") - F.row_number().over(Window.partitionBy("id0", "hash").orderBy("no"))
+    passages = repeated.withColumn("run", run).groupBy("id0", "hash", "run")
+    passages = passages.agg(F.sum("words").alias("words"), F.collect_list(F.struct("start", "end", "gone", "shared")).alias("units")).where(F.col("words") >= min_passage)
+    whole = passages.groupBy("id0", "hash").agg(F.flatten(F.collect_list("units")).alias("u"))
+    spans = F.sort_array(F.transform(F.filter("u", lambda x: x["gone"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    out = stash(whole.select("id0", "hash", spans.alias("removed"), F.size(F.filter("u", lambda x: x["shared"])).cast("long").alias("n_shared")))
+    drop_stash(units)
+    drop_stash(firsts)
+    return out
+
+
+def _without(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """The texts without the spans."""
+
+    def cut(text, a, b):
+        if a is None or text is None or not len(a):
+            return text
+        return "".join(text[i:j] for i, j in zip([0, *b], [*a, len(text)], strict=True))
+
+    return pd.Series([cut(*x) for x in zip(texts, starts, ends, strict=True)], dtype=object)
+
+
+def dedup_documents(docs: DataFrame, kind: str = "line", min_passage: int = 1) -> DataFrame:
+    """docs with the texts rid of repeated units, and with ``removed``, their spans in the original texts, and ``n_shared``."""
+    rows, names = named(docs)
+    out = rows.join(removed_units(docs, kind, min_passage), ["id0", "hash"], "left")
+    cut = F.pandas_udf(_without, "string")
+    text = cut(F.col(f"`{names['text']}`").cast("string"), F.col("removed.start"), F.col("removed.end"))
+    spans = F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("column removed")
+    out = out.withColumn(names["text"], text).withColumns({"column removed": spans, "column shared": F.coalesce("n_shared", F.lit(0).cast("long"))})
+    kept = [F.col(f"`{n}`").alias(c) for c, n in names.items() if c not in ("removed", "n_shared")]
+    return out.select(*kept, F.col("column removed").alias("removed"), F.col("column shared").alias("n_shared"))
