@@ -74,13 +74,28 @@ def test_shards(spark, odd, none, clashing):
 
 
 def test_overfull_ranges_are_subdivided(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "RANGE_ROWS", 50)
-    monkeypatch.setattr(sharding, "OVERSAMPLE", 1)
+    monkeypatch.setattr(sharding, "RANGES", 16)
+    monkeypatch.setattr(sharding, "OVERSAMPLE", 2)
     docs = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"t{i}") for i in range(3000)], "doc_id long, text string")
     got = sharding.shard_documents(docs).collect()
     assert len(got) == 3000 and max(Counter(r.shard for r in got).values()) < 260
 
 
+def test_shards_are_runs_of_the_key(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 700} " * (i % 13)) for i in range(4000)] + [(None, "one text " * 9)] * 2000, "doc_id long, text string")
+    got = sharding.shard_documents(docs).collect()
+    total, by, bounds = sum(r.size for r in got), Counter(), {}
+    for r in got:
+        by[r.shard] += r.size
+        key = (r.text_crc32, zlib.crc32(str(r.doc_id).encode() if r.doc_id is not None else b""))
+        lo, hi = bounds.get(r.shard, (key, key))
+        bounds[r.shard] = min(lo, key), max(hi, key)
+    runs = [bounds[s] for s in sorted(bounds)]
+    # in the order of the key; only a key that a bound falls in is in two shards
+    assert len(by) == 16 and all(a[1] <= b[0] for a, b in zip(runs, runs[1:], strict=False))
+    assert all(abs(size - total / 16) <= 2.5 * total / 16 / sharding.RANGES * sharding.OVERFULL + 200 for size in by.values())
+
+
 def brute_quality(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     c = Counter(zip(w, w[1:], w[2:], strict=False))
