@@ -39,6 +39,8 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridmend/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # the shuffles behind df have no reader any more; Spark's cleaner removes their files once the driver has seen that
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out

@@ -11,8 +11,8 @@
      instead of bins. Lines near a bound between classes take part in both, so that no similar pair falls between.
   4. High-recall banding: a bin's four values are a key. A pair at Jaccard 0.8 shares one of its keys with
      probability 0.99 at least (the README has measured figures by length).
-  5. Each member of a list is held against its least member, if 80 bits of their MinHash values are as close as those
-     of a similar pair (at 0.8 all but some 0.01 % are), by exact Jaccard. Lists whose members are then not all in one component
+  5. Each member of a list is held against its least member, if 60 bits of their MinHash values are as close as those
+     of similar pairs, by exact Jaccard. Lists whose members are then not all in one component
      are settled completely: members close to one of another component are found block by block, and all their pairs
      compared by exact Jaccard, again block by block. So the components are those of all pairs that share a key, and a list of
      near copies, which its least member settles, is not expanded into pairs.
@@ -36,10 +36,12 @@ BANDS = 10
 SIMILARITY = 0.8
 #: Places from which a line's shingles are dealt into bins, those that it must keep, and the share of one class in the next.
 FEW, LEAST, STEP = 48, 64, 4
-#: Of 8 * BANDS bits, those in which similar lines may differ.
-APART = 18
+#: Of 6 * BANDS bits, those in which similar lines may differ.
+APART = 15
 #: Members of a list that one side of a row of comparisons holds, by bits and by shingles.
 BLOCK, SET_BLOCK = 1024, 64
+#: Line hashes that may be broadcast, of some 20 bytes each; more of them are joined by a shuffle.
+BROADCAST = 2_000_000
 
 
 def normal(line: Column) -> Column:
@@ -81,7 +83,7 @@ def shingles(lines: DataFrame, *cols: str) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(lk, kind, k0, k1, ..., sig, sig2) of distinct lines (lk, line), dealt by lk: for each kind, which are -1 for orders of
+    """(lk, kind, k0, k1, ..., sig) of distinct lines (lk, line), dealt by lk: for each kind, which are -1 for orders of
     their own and the classes from 0, the keys of the bands and the bits that stand for the values."""
     n = F.col("n")
     sized = measured(lines).select("lk", "n", "b", _class(n * SIMILARITY).alias("low"), _class(n / SIMILARITY).alias("high"))
@@ -97,24 +99,20 @@ def signatures(lines: DataFrame) -> DataFrame:
     turned = F.expr("shiftleft(x, 32) | shiftrightunsigned(x, 32)")
     bands = rows.groupBy("lk", "slot").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min(turned).alias("c"), F.max(turned).alias("d"))
 
-    def bits(at: int) -> Column:
-        """A bit of each value, that neither the bin nor the order depends on."""
-        return F.expr(f"(shiftright(a, {at}) & 1) | (shiftright(b, {at - 1}) & 2) | (shiftright(c, {at + 30}) & 4) | (shiftright(d, {at + 29}) & 8)")
-
-    bands = bands.select("lk", F.expr("shiftright(slot, 4)").alias("kind"), F.expr("slot & 15").alias("band"), F.xxhash64("slot", "a", "b", "c", "d").alias("key"), bits(8).alias("u"), bits(12).alias("v"))
+    # of each value a bit or two that neither the bin nor the order depends on
+    bits = F.expr("(shiftright(a, 8) & 3) | (shiftright(b, 6) & 12) | (shiftright(c, 36) & 16) | (shiftright(d, 35) & 32)")
+    bands = bands.select("lk", F.expr("shiftright(slot, 4)").alias("kind"), F.expr("slot & 15").alias("band"), F.xxhash64("slot", "a", "b", "c", "d").alias("key"), bits.alias("bits"))
     keys = [F.min(F.when(F.col("band") == i, F.col("key"))).alias(f"k{i}") for i in range(BANDS)]
-    sums = [F.expr(f"bit_or(shiftleft({c}, 4 * band))").alias(name) for c, name in (("u", "sig"), ("v", "sig2"))]
-    return bands.groupBy("lk", "kind").agg(*keys, *sums)
+    return bands.groupBy("lk", "kind").agg(*keys, F.expr("bit_or(shiftleft(bits, 6 * band))").alias("sig"))
 
 
 def entries_of(signed: DataFrame) -> DataFrame:
-    """(key, lk, sig, sig2) of each band of signatures."""
-    return signed.select("lk", "sig", "sig2", F.explode(F.array(*[F.col(f"k{i}") for i in range(BANDS)])).alias("key")).where("key is not null")
+    """(key, lk, sig) of each band of signatures."""
+    return signed.select("lk", "sig", F.explode(F.array(*[F.col(f"k{i}") for i in range(BANDS)])).alias("key")).where("key is not null")
 
 
-def _close(a: list[Column], b: list[Column]) -> Column:
-    x, y = (F.bit_count(u.bitwiseXOR(v)) for u, v in zip(a, b, strict=True))
-    return x + y <= APART
+def _close(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= APART
 
 
 def shingle_set(line: Column) -> Column:
@@ -130,13 +128,17 @@ def _similar(x: Column, y: Column) -> Column:
 
 
 def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(lk, line) of the lines asked for (lk)."""
-    return line_rows(docs).select("lk", "line").join(asked.distinct(), "lk", "left_semi").dropDuplicates(["lk"])
+    """(lk, line) of the lines asked for (lk), stored."""
+    asked = stash(asked.distinct())
+    small = asked.count() <= BROADCAST
+    out = stash(line_rows(docs).select("lk", "line").join(F.broadcast(asked) if small else asked, "lk", "left_semi").dropDuplicates(["lk"]))
+    drop_stash(asked)
+    return out
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The distinct pairs (lk, rep) that are similar. The shingles of both lines are counted by pair, so no row holds more than two lines."""
-    texts = stash(_texts(docs, pairs.select(F.explode(F.array("lk", "rep")).alias("lk"))))
+    """The distinct pairs (lk, rep) that are similar, stored. The shingles of both lines are counted by pair, so no row holds more than two lines."""
+    texts = _texts(docs, pairs.select(F.explode(F.array("lk", "rep")).alias("lk")))
     both = pairs.join(texts, "lk").withColumnRenamed("line", "x").join(texts.select(F.col("lk").alias("rep"), F.col("line").alias("y")), "rep")
     sizes = [F.greatest(F.length(c) - (WIDTH - 1), F.lit(1)) for c in "xy"]
     both = both.select("lk", "rep", "x", "y", sizes[0].alias("n"), sizes[1].alias("m")).where(f"least(n, m) >= {SIMILARITY} * greatest(n, m)")
@@ -145,7 +147,10 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     part = F.when(F.col("i") < F.col("n"), F.substring("x", F.col("i") * 4 + 1, F.lit(4 * WIDTH))).otherwise(F.substring("y", (F.col("i") - F.col("n")) * 4 + 1, F.lit(4 * WIDTH)))
     rows = rows.select("lk", "rep", F.xxhash64(part).alias("s"), F.when(F.col("i") < F.col("n"), 1).otherwise(2).alias("side"))
     sides = rows.groupBy("lk", "rep", "s").agg(F.bit_or("side").alias("side"))
-    return sides.groupBy("lk", "rep").agg(F.count_if(F.col("side") == 3).alias("common"), F.count("*").alias("all")).where(f"common >= {SIMILARITY} * all").select("lk", "rep")
+    counted = sides.groupBy("lk", "rep").agg(F.count_if(F.col("side") == 3).alias("common"), F.count("*").alias("all"))
+    out = stash(counted.where(f"common >= {SIMILARITY} * all").select("lk", "rep"))
+    drop_stash(texts)
+    return out
 
 
 def _blocks(members: DataFrame, size: int, *cols: str) -> DataFrame:
@@ -159,17 +164,17 @@ def _blocks(members: DataFrame, size: int, *cols: str) -> DataFrame:
 
 
 def links_across(lists: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(lk, rep): links between the components that found's links leave in the lists (key, n, lk, sig, sig2), so many that the
+    """(lk, rep): links between the components that found's links leave in the lists (key, n, lk, sig), so many that the
     components become those of all similar pairs of members."""
     comps = stash(components(found.select(F.col("lk").alias("a"), F.col("rep").alias("b"))))
     # of two members the one has been held against the other
     longer = lists.where("n > 2").join(comps.withColumnRenamed("node", "lk"), "lk", "left")
-    tagged = stash(longer.select("key", "n", "lk", "sig", "sig2", F.coalesce("comp", "lk").alias("comp")))
+    tagged = stash(longer.select("key", "n", "lk", "sig", F.coalesce("comp", "lk").alias("comp")))
     mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     tagged = tagged.join(mixed, "key", "left_semi")
-    other = lambda x, y: (x["comp"] != y["comp"]) & _close([x["sig"], x["sig2"]], [y["sig"], y["sig2"]])
+    other = lambda x, y: (x["comp"] != y["comp"]) & _close(x["sig"], y["sig"])
     # lists of a few members become pairs, the same pair of several lists once
-    few = tagged.where(F.col("n") <= SET_BLOCK).groupBy("key").agg(F.collect_list(F.struct("lk", "sig", "sig2", "comp")).alias("p"))
+    few = tagged.where(F.col("n") <= SET_BLOCK).groupBy("key").agg(F.collect_list(F.struct("lk", "sig", "comp")).alias("p"))
     pair = lambda x, y: F.struct(x["lk"].alias("lk"), y["lk"].alias("rep"))
     pairs = F.transform("p", lambda x: F.transform(F.filter("p", lambda y: (x["lk"] < y["lk"]) & other(x, y)), lambda y: pair(x, y)))
     links = verified(stash(few.select(F.explode(F.flatten(pairs)).alias("l")).select("l.*").distinct()), docs)
@@ -178,12 +183,12 @@ def links_across(lists: DataFrame, found: DataFrame, docs: DataFrame) -> DataFra
         return links
     # in lists of many, members close to one of another component are sought first, and then all of their pairs compared,
     # of which one link is given for each two components
-    met = _blocks(many, BLOCK, "lk", "sig", "sig2", "comp")
+    met = _blocks(many, BLOCK, "lk", "sig", "comp")
     near = lambda p, q: F.filter(p, lambda x: F.exists(q, lambda y: other(x, y)))
     some = met.select("key", near("p", "q").alias("p"), near("q", "p").alias("q")).where("size(p) > 0")
     asked = stash(some.select("key", F.explode(F.array_union("p", "q")).alias("m")).select("key", "m.*").distinct())
-    met = _blocks(asked.join(stash(_texts(docs, asked.select("lk"))), "lk"), SET_BLOCK, "lk", "sig", "sig2", "comp", "line")
-    with_set = lambda m: F.struct(m["lk"].alias("lk"), m["sig"].alias("sig"), m["sig2"].alias("sig2"), m["comp"].alias("comp"), F.length(m["line"]).alias("n"), shingle_set(m["line"]).alias("s"))
+    met = _blocks(asked.join(_texts(docs, asked.select("lk")), "lk"), SET_BLOCK, "lk", "sig", "comp", "line")
+    with_set = lambda m: F.struct(m["lk"].alias("lk"), m["sig"].alias("sig"), m["comp"].alias("comp"), F.length(m["line"]).alias("n"), shingle_set(m["line"]).alias("s"))
     met = met.select("same", F.explode(F.array(F.struct(F.transform("p", with_set).alias("p"), F.transform("q", with_set).alias("q")))).alias("b")).select("same", "b.*")
 
     def asks(x: Column, y: Column) -> Column:
@@ -207,13 +212,17 @@ def similar_links(docs: DataFrame) -> DataFrame:
     hot = stash(share.where(F.col("n") > F.lit(max(8, total // 1000))).select("key"))
     cold = entries.join(F.broadcast(hot), "key", "left_anti").repartition("key")  # hot has at most 1,000 rows
     warm = entries.join(F.broadcast(hot), "key", "left_semi")
-    reps = [F.count("*").alias("n"), F.min("lk").alias("rep"), F.min_by("sig", "lk").alias("rep_sig"), F.min_by("sig2", "lk").alias("rep_sig2")]
+    reps = [F.count("*").alias("n"), F.min("lk").alias("rep"), F.min_by("sig", "lk").alias("rep_sig")]
     lists = cold.join(cold.groupBy("key").agg(*reps).where("n > 1").hint("shuffle_hash"), "key")
-    lists = stash(lists.unionByName(warm.join(F.broadcast(warm.groupBy("key").agg(*reps).where("n > 1")), "key")))
-    pairs = stash(lists.where((F.col("lk") != F.col("rep")) & _close([F.col("sig"), F.col("sig2")], [F.col("rep_sig"), F.col("rep_sig2")])).select("lk", "rep").distinct())
-    links = stash(verified(pairs, docs))
-    more = stash(links_across(lists.select("key", "n", "lk", "sig", "sig2"), links, docs))
-    for t in (signed, hot, lists, pairs):
+    lists = lists.unionByName(warm.join(F.broadcast(warm.groupBy("key").agg(*reps).where("n > 1")), "key"))
+    asked = (F.col("lk") != F.col("rep")) & _close(F.col("sig"), F.col("rep_sig"))
+    # of a list of two nothing is left to do once they have been held against each other
+    lists = stash(lists.select("key", "n", "lk", "sig", "rep", asked.alias("asked")).where("n > 2 or asked"))
+    drop_stash(signed)
+    pairs = stash(lists.where("asked").select("lk", "rep").distinct())
+    links = verified(pairs, docs)
+    more = stash(links_across(lists.select("key", "n", "lk", "sig"), links, docs))
+    for t in (hot, lists, pairs):
         drop_stash(t)
     return links.unionByName(more).select(F.col("lk").alias("a"), F.col("rep").alias("b"))
 
