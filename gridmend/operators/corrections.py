@@ -63,7 +63,7 @@ def apply(cells: DataFrame, log: DataFrame) -> DataFrame:
     hit = F.col("new").isNotNull()
     put = {"vtype": F.when(hit, "str").otherwise(F.col("vtype")), "v_str": F.coalesce("new", "v_str")}
     put |= {k: F.when(~hit, F.col(k)) for k in ("v_int", "v_num", "v_date", "v_time_h", "v_time_m", "v_bool")}
-    put["number_format"] = F.when(~(hit & F.lower("number_format").rlike("[yd]")), F.col("number_format"))
+    put["number_format"] = F.when(~(hit & F.lower("number_format").rlike("[ymd]")), F.col("number_format"))
     return c.withColumns(put).drop("new").select(*cells.columns)
 
 

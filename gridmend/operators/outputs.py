@@ -15,6 +15,7 @@ from gridmend.operators.cells import SHEET, value_text
 
 VERSION = "0.1"
 #: Rows of a sheet that a bundle may hold: it is put together on the driver.
+MAX_COLUMNS = 16_384
 BUNDLE_ROWS = 1_000_000
 
 
@@ -38,7 +39,9 @@ def batch_summary(suspicions: DataFrame, files: DataFrame) -> DataFrame:
 def wide_csv(cells: DataFrame, file_id: str, sheet: str) -> str:
     """One sheet as CSV text; a sheet beyond BUNDLE_ROWS is an error, and is written by Spark instead."""
     part = cells.where((F.col("file_id") == file_id) & (F.col("sheet") == sheet))
-    names = [r.col for r in part.select("col_ord", "col").distinct().orderBy("col_ord").limit(16_384).collect()]
+    names = [r.col for r in part.select("col_ord", "col").distinct().orderBy("col_ord").limit(MAX_COLUMNS + 1).collect()]
+    if len(names) > MAX_COLUMNS:
+        raise ValueError("the sheet is too wide for a bundle")
     if part.agg(F.max("row_id")).first()[0] >= BUNDLE_ROWS:
         raise ValueError("the sheet is too large for a bundle")
     rows = part.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("col", value_text()))).alias("m")).orderBy("row_id")
@@ -58,7 +61,9 @@ def bundle(fixed_cells: DataFrame, log: DataFrame, schemas: DataFrame, file_id:
             z.writestr(f"{s.sheet}.cleaned.csv", wide_csv(fixed_cells, file_id, s.sheet))
             z.writestr(f"{s.sheet}.schema.json", s.schema)
         cols = ["sheet", "col", "row_id", "original_value", "proposed_value", "kind", "confidence", "applied", "skip_reason"]
-        rows = [r.asDict() for r in log.where(F.col("file_id") == file_id).select(*SHEET[2:], *cols[1:]).limit(BUNDLE_ROWS).toLocalIterator()]
+        rows = [r.asDict() for r in log.where(F.col("file_id") == file_id).select(*SHEET[2:], *cols[1:]).limit(BUNDLE_ROWS + 1).toLocalIterator()]
+        if len(rows) > BUNDLE_ROWS:
+            raise ValueError("the audit log is too long for a bundle")
         z.writestr("audit.json", json.dumps({"version": VERSION, "changes": rows}, default=str))
         out = io.StringIO()
         w = csv.DictWriter(out, cols)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridmend.functions import fixed as X
 from gridmend.functions import scalars as S
 from gridmend.operators.cells import COLUMN, SHEET
+from gridmend.operators.store import small
 
 SAMPLE = 200
 MIN_SAMPLES = 5
@@ -20,7 +21,7 @@ def enrich(cells: DataFrame, lookup: DataFrame, reference_year: int = 2026) -> D
     """cells with s (stripped text), is_known, is_known_upper, is_resolvable and is_xspecies, by one join with the registry's lookup
     table, and the dates and symbols of texts that parse, computed once."""
     c = cells.withColumn("s", S.strip(F.col("v_str"))).withColumn("low", F.lower("s"))
-    j = c.join(lookup, "low", "left")
+    j = c.join(small(lookup), "low", "left")
     text = F.col("vtype") == "str"
     no = F.lit(False)
     j = j.withColumns(

@@ -122,10 +122,10 @@ def load(spark: SparkSession, hgnc_glob: str | None = None, xref_glob: str | Non
     """The registry of the latest file, by name, of a glob of tab-separated tables; the seed without one."""
     if hgnc_glob is None:
         return seed(spark)
-    files = spark.read.csv(hgnc_glob, sep="\t", header=True).withColumn("file", F.input_file_name())
-    last = files.agg(F.max("file")).first()[0]
+    # names alone are listed; no snapshot but the last is read
+    last = spark.read.format("binaryFile").load(hgnc_glob).select(F.max("path")).first()[0]
     multi = spark.read.csv(xref_glob, sep="\t", header=True).toDF("species", "external_id", "current_symbol", "prev_or_alias") if xref_glob else None
-    return build(files.where(F.col("file") == last), multi)
+    return build(spark.read.csv(last, sep="\t", header=True), multi)
 
 
 def snapshot_age(path, today):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gridmend.functions import fixed as X
 from gridmend.functions import scalars as S
 from gridmend.operators.cells import COLUMN, SHEET, value_text
+from gridmend.operators.store import small
 
 FLAG = "struct<rule_id:string,kind:string,candidates:array<string>,confidence:double>"
 #: Kinds whose suggestion is advice, not a value to write into the cell.
@@ -68,6 +69,7 @@ def symbol_column_rules() -> Column:
         .otherwise(0.0)
     )
     serial = F.when(F.col("n_date_corrupt") >= 1, 0.85).otherwise(0.15)
+    serial_text = F.when(F.col("n_date_corrupt") >= 1, 0.75).otherwise(0.15)
     plain = F.col("is_text") & ~F.col("is_xspecies")
     listed = F.when(some("date_symbols"), F.col("date_symbols"))
     return first_of(
@@ -78,7 +80,7 @@ def symbol_column_rules() -> Column:
             (F.col("vtype") == "date", flag("R-DATE", "gene-date", listed, conf)),
             (F.col("is_num") & some("num_symbols"), flag("R-SER-NUM", "gene-date-serial", F.col("num_symbols"), serial)),
             (F.col("is_num") & (F.abs("v_num") >= 1e10), flag("R-IDFLOAT-P1", "id-float", None, 0.85)),
-            (plain & some("digit_symbols"), flag("R-SER-STR", "gene-date-serial", F.col("digit_symbols"), serial)),
+            (plain & some("digit_symbols"), flag("R-SER-STR", "gene-date-serial", F.col("digit_symbols"), serial_text)),
         ]
     )
 
@@ -134,7 +136,7 @@ def commas_throughout() -> Column:
 def cell_flags(enriched: DataFrame, profile: DataFrame, foreign: DataFrame) -> DataFrame:
     """Flags of single cells: one join of the cells with their columns' profile, then expressions only."""
     marks = profile.join(foreign.withColumn("is_foreign", F.lit(True)), SHEET, "left")
-    c = prepared(enriched).join(marks, COLUMN)
+    c = prepared(enriched).join(small(marks), COLUMN)
     c = c.withColumns({"p1": F.when(F.col("is_id"), symbol_column_rules()), "p15": F.when(F.col("promoted"), identifier_column_rules()), "p2": F.when(F.col("blind"), context_free_rules())})
     outlier = F.col("promoted") & (F.col("n_gene_like") >= 10) & (F.col("n_recognised") / F.greatest(F.col("n_gene_like"), F.lit(1)) >= 0.80)
     unknown = F.col("is_text") & F.col("s").rlike(X.GENE_LIKE) & ~(F.col("is_known") | F.col("is_resolvable")) & F.col("is_foreign").isNull()

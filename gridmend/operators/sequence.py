@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmend.functions import fixed as X
 from gridmend.functions import scalars as S
+from gridmend.operators.store import small
 from gridmend.operators.cells import COLUMN
 from gridmend.operators.rules import _finish, flag
 
@@ -24,7 +25,7 @@ def step_band(days: Column) -> Column:
 def dated_cells(prepared: DataFrame, profile: DataFrame) -> DataFrame:
     """(COLUMN, row_id, d): cells of symbol columns that stand for one date with symbols behind it."""
     ids = profile.where("is_id").select(*COLUMN)
-    c = prepared.join(ids, COLUMN)
+    c = prepared.join(small(ids), COLUMN)
     serial = F.when(F.col("integral").between(1, 1000000000), S.serial_to_date(F.col("integral")))
     d = F.when(F.col("vtype") == "date", F.col("v_date")).when(F.col("is_num"), serial).when((F.col("vtype") == "str") & (F.size("dates") == 1), F.get("dates", F.lit(0)))
     c = c.select(*COLUMN, "row_id", d.alias("d")).where("d is not null")
@@ -34,8 +35,13 @@ def dated_cells(prepared: DataFrame, profile: DataFrame) -> DataFrame:
 def runs(dated: DataFrame, keys: list[str] = COLUMN) -> DataFrame:
     """(keys, first_row, length) of runs of MIN_RUN cells or more: rows 1 or 2 apart and steps of one band.
 
-    The pair that breaks a run is used up: the next run starts at its second cell without a band. That makes it a fold over the
-    column's dated cells in order, which are few: symbol columns hold symbols."""
+    The pair that breaks a run is used up: the next run starts at its second cell without a band. That makes it a fold over
+    dated cells in order. Where two neighbours can't be in one run whatever came before, the fold starts anew, so what is gathered for a fold
+    is a stretch without such a gap, not a column."""
+    order = Window.partitionBy(*keys).orderBy("row_id")
+    gap, days = F.col("row_id") - F.lag("row_id").over(order), F.datediff(F.col("d"), F.lag("d").over(order))
+    cut = F.when(F.coalesce(gap.between(1, 2) & step_band(days).isNotNull(), F.lit(False)), 0).otherwise(1)
+    dated = dated.withColumn("cut", cut).withColumn("stretch", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     cell = F.struct(F.col("row_id").alias("r"), F.col("d"))
     start = "named_struct('first', cast(null as bigint), 'n', 0, 'band', cast(null as int), 'r', cast(null as bigint), 'd', cast(null as date), 'out', cast(array() as array<struct<first:bigint,n:int>>))"
 
@@ -52,7 +58,7 @@ def runs(dated: DataFrame, keys: list[str] = COLUMN) -> DataFrame:
     def finish(a: Column) -> Column:
         return F.when(a["n"] >= MIN_RUN, F.concat(a["out"], F.array(F.struct(a["first"].alias("first"), a["n"].alias("n"))))).otherwise(a["out"])
 
-    folded = dated.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(cell)), F.expr(start), step, finish).alias("runs"))
+    folded = dated.groupBy(*keys, "stretch").agg(F.aggregate(F.array_sort(F.collect_list(cell)), F.expr(start), step, finish).alias("runs"))
     return folded.select(*keys, F.explode("runs").alias("x")).select(*keys, F.col("x.first").alias("first_row"), F.col("x.n").cast("long").alias("length"))
 
 

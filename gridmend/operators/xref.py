@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmend.functions import fixed as X
+from gridmend.functions.scalars import strip
 from gridmend.operators.cells import SHEET
 from gridmend.operators.registry import Registry, lookup_ids
+from gridmend.operators.store import stash
 
 
 def resolved_ids(cells: DataFrame, registry: Registry) -> DataFrame:
     """(SHEET, row_id, col_ord, s, gene) of text cells that hold a known external identifier. The shape test comes before the
     join, so most cells never reach it."""
-    text = cells.where("vtype = 'str'").select(*SHEET, "row_id", "col_ord", F.trim("v_str").alias("s"))
+    text = cells.where("vtype = 'str'").select(*SHEET, "row_id", "col_ord", strip(F.col("v_str")).alias("s"))
     shaped = text.where(" or ".join(f"s rlike r'{shape}'" for _, shape in X.ID_SHAPES))
     return lookup_ids(shaped, "s", registry).where("gene is not null")
 
@@ -24,7 +26,7 @@ def adjudicate(suspicions: DataFrame, cells: DataFrame, registry: Registry) -> D
     keyed = suspicions.withColumn("sid", F.xxhash64(*SHEET, "col_ord", "row_id", "rule_id"))
     asked = keyed.where("suggestion is not null").select("sid", *SHEET, "col_ord", "row_id", "candidates")
     ids = resolved_ids(cells, registry).withColumnRenamed("col_ord", "at")
-    near = asked.join(ids, [*SHEET, "row_id"]).where("at <> col_ord")
+    near = stash(asked.join(ids, [*SHEET, "row_id"]).where("at <> col_ord"))
     wanted = near.select("sid", "candidates", "at", "s", "gene")
     names = near.select(F.explode("candidates").alias("symbol")).distinct()
     equal = registry.equivalents(names).withColumnRenamed("symbol", "candidate")

@@ -13,6 +13,7 @@ from gridmend.operators import rules as R
 from gridmend.operators.cells import COLUMN, SHEET
 from gridmend.operators.registry import Registry, seed
 from gridmend.operators.sequence import autofill_flags
+from gridmend.operators.store import stash
 from gridmend.operators.xref import adjudicate
 
 
@@ -36,11 +37,12 @@ class Detection:
 
 
 def detect(cells: DataFrame, registry: Registry | None = None, columns: DataFrame | None = None, row_context_boost: bool = False, reference_year: int = 2026) -> Detection:
-    """Every damaged cell of any number of files. Cells are shuffled by column for the profile; the rules then need one join with the
-    profile, which has one row a column, and the optional adjudication one shuffle by row of the cells that hold identifiers."""
+    """Every damaged cell of any number of files. The enriched cells and the profile, which has one row a column, are stored once and
+    read by all rules; these join them without a shuffle as long as the profile is small, and the optional adjudication takes one
+    shuffle by row of the cells that hold identifiers."""
     registry = registry or seed(cells.sparkSession)
-    enriched = P.enrich(cells, registry.lookup(), reference_year)
-    profile = P.profile_columns(enriched, columns)
+    enriched = stash(P.enrich(cells, registry.lookup(), reference_year))
+    profile = stash(P.profile_columns(enriched, columns))
     found = R.cell_flags(enriched, profile, P.foreign_sheets(profile))
     found = found.unionByName(R.column_flags(profile)).unionByName(autofill_flags(R.prepared(enriched), profile))
     if row_context_boost:
@@ -49,8 +51,14 @@ def detect(cells: DataFrame, registry: Registry | None = None, columns: DataFram
 
 
 def too_large(files: DataFrame, limit: int) -> DataFrame:
-    """Suspicions for files above a size limit, from file metadata alone: (file_id, kind, confidence)."""
-    return files.where(F.col("length") > limit).select(F.col("path").alias("file_id"), F.lit("file-too-large").alias("kind"), F.lit(0.0).alias("confidence"))
+    """A suspicion for each of files (path, length) above a size limit, from file metadata alone, in the form of detect's."""
+    none = F.lit(None).cast("string")
+    put = {
+        "file_id": F.col("path"), "sheet_ord": F.lit(0), "sheet": F.lit(""), "col_ord": F.lit(0), "col": F.lit(""), "row_id": F.lit(0).cast("long"), "rule_id": F.lit("R-BIG"),
+        "kind": F.lit("file-too-large"), "value_repr": F.concat(F.format_number("length", 0), F.lit(" bytes")), "suggestion": none, "candidates": F.lit(None).cast("array<string>"),
+        "confidence": F.lit(0.0), "reason_code": F.lit("R-BIG"), "reason_args": F.create_map(F.lit("limit"), F.lit(str(limit))), "xref_status": none,
+    }
+    return files.where(F.col("length") > limit).select(*[put[c].alias(c) for c in R.OUT])
 
 
 def exit_code(suspicions: DataFrame, medium: float = 0.30) -> DataFrame:
