@@ -6,54 +6,29 @@ and get the same result, whatever the operator.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_dir: list[str] = []
+from gridmend.operators import store
+from gridmend.operators.store import drop_stash
+
+__all__ = ["all_of", "any_of", "ascii_lower", "components", "crc_mod", "drop_stash", "id_key", "lookup", "named", "quoted", "stash", "table", "text_hash", "unnamed"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, the
-    warehouse on a cluster, and a temporary folder only when everything is one local JVM."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
-        if not _local_dir:
-            _local_dir.append(tempfile.mkdtemp(prefix="gridmend-"))
-        return f"file://{_local_dir[0]}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stash"
-
-
 def stash(df: DataFrame) -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back. Unlike a cached or locally
-    checkpointed frame this survives lost executors, and later reads prune columns."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridmend/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Store df in the shared folder and read it back, see store.stash."""
+    out = store.stash(df)
     # the shuffles behind df have no reader any more; Spark's cleaner removes their files once the driver has seen that
-    spark._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
+    df.sparkSession._jvm.System.gc()
     return out
 
 
-def drop_stash(df: DataFrame) -> None:
-    """Delete a stashed table that no live plan reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_stash_path", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def lookup(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
     """rows joined with table, which has one row a key and in ``count`` the number of rows that have the key.
 

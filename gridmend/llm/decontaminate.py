@@ -33,6 +33,8 @@ SIZE = 10
 NEAR_TERMS = 8
 #: Rows of windows that are broadcast at once; a row is a window and one of its anchors, of some hundred bytes.
 TESTS_BLOCK = 200_000
+#: Test terms that may be broadcast, of some 50 bytes each.
+TERMS_BROADCAST = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -57,19 +59,21 @@ def index_of(docs: DataFrame) -> DataFrame:
     return stash(words.select("doc_id", "id0", "hash", F.size("w").alias("n_words"), "w"))
 
 
-def term_frequencies(index: DataFrame) -> DataFrame:
-    """(term, df): the length of each term's posting list."""
-    return index.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def term_frequencies(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, df): the length of the posting list of each of terms (term), which has no repeats. Terms up to TERMS_BROADCAST are
+    sought where the words lie, so that only counts are shuffled; more are joined by a shuffle."""
+    few = terms.count() <= TERMS_BROADCAST
+    return index.select(F.explode("w").alias("term")).join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
 
 
-def anchored(windows: DataFrame, frequencies: DataFrame, near_terms: int | None = None) -> DataFrame:
+def anchored(windows: DataFrame, index: DataFrame, near_terms: int | None = None) -> DataFrame:
     """Windows with their terms from the rarest on: (anchor, at, first, window, terms array<struct<off, term>>, others, n,
     item_ids), a row for each anchor, of which the rarest is ``first``. One of others, the next rarest terms, must be near too.
 
     Equal windows of several items are one; offsets are relative to the anchor's place ``at``."""
     windows = windows.groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     terms = windows.select("words", F.posexplode("words").alias("pos", "term"))
-    used = stash(frequencies.join(terms.select("term").distinct(), "term", "left_semi"))
+    used = stash(term_frequencies(index, stash(terms.select("term").distinct())))
     ranked = (
         terms.join(used, "term", "left")
         .groupBy("words")
@@ -111,7 +115,7 @@ def distinct_matches(found: DataFrame) -> DataFrame:
 def matches_by_posting(index: DataFrame, items: DataFrame, size: int = SIZE, near_terms: int | None = None, slop: int = 2) -> DataFrame:
     """(id0, hash, found): the matches, as in find_matches, of each posting of the index that has any."""
     windows = stash(windows_of(items, size))
-    tests = stash(anchored(windows, term_frequencies(index), near_terms).withColumn("part", F.xxhash64("anchor", "window", "at")))
+    tests = stash(anchored(windows, index, near_terms).withColumn("part", F.xxhash64("anchor", "window", "at")))
     blocks = -(-tests.count() // TESTS_BLOCK)
     out = None
     for k in range(max(1, blocks)):
