@@ -19,13 +19,13 @@ from gridmend.llm.common import crc_mod, stash, table
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Train as op1 does, on the documents given, and keep those that score below 0.5."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
-    return toxicity.score_documents(docs, model).where("toxicity < 0.5").select(*docs.columns)
+    return toxicity.clean_documents(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove repeated and nearly repeated lines; n_chars follows the text."""
     out = line_dedup.dedup_documents(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
