@@ -209,7 +209,7 @@ SQL: dict[str, str] = {
  SELECT c.col, c.row_id, CASE WHEN new IS NULL THEN vtype ELSE 'str' END AS vtype, coalesce(new, v) AS value FROM c LEFT JOIN ok USING (col, row_id)""",
     "registry_build": f"WITH {REG} SELECT 'prev' AS part, old, symbol FROM prv UNION ALL SELECT 'alias', old, symbol FROM als",
     "registry_resolve": f"WITH {REG}, {LEVELS}, a AS (SELECT DISTINCT ['GEN', 'gen', 'OLD', 'Ali', 'ALI', 'none'][CAST(o_orderkey % 6 + 1 AS INT)] || (o_orderkey % 350) AS ask FROM orders) SELECT ask, coalesce(ex.symbol, fo.symbol) AS resolved FROM a LEFT JOIN ex ON ex.key = ask LEFT JOIN fo ON fo.key = lower(ask)",
-    "registry_equivalents": f"""WITH {REG}, {LEVELS}, a AS (SELECT symbol FROM cur WHERE length(symbol) <= 5 UNION SELECT old FROM prv), r AS (SELECT a.symbol, coalesce(ex.symbol, fo.symbol) AS res FROM a LEFT JOIN ex ON ex.key = a.symbol LEFT JOIN fo ON fo.key = lower(a.symbol)),
+    "registry_equivalents": f"""WITH {REG}, {LEVELS}, a AS (SELECT symbol FROM cur UNION SELECT old FROM prv), r AS (SELECT a.symbol, coalesce(ex.symbol, fo.symbol) AS res FROM a LEFT JOIN ex ON ex.key = a.symbol LEFT JOIN fo ON fo.key = lower(a.symbol)),
  own AS (SELECT symbol, symbol AS name FROM r UNION SELECT symbol, res FROM r WHERE res IS NOT NULL), o AS (SELECT * FROM prv UNION ALL SELECT * FROM als) SELECT symbol, name AS equivalent FROM own UNION SELECT own.symbol, o.old FROM own JOIN o ON o.symbol = own.name""",
     "xref_lookup": """WITH i AS (SELECT DISTINCT l_suppkey % 4 AS f, l_partkey AS k FROM lineitem), nm AS (SELECT p_partkey % 900 AS n, min(p_partkey) AS p FROM part WHERE p_partkey % 17 <> 0 GROUP BY 1)
  SELECT DISTINCT CASE f WHEN 0 THEN 'ENSG' || lpad(CAST(k AS VARCHAR), 11, '0') || '.7' WHEN 1 THEN 'HGNC:' || k WHEN 2 THEN CAST(k + 1000 AS VARCHAR) ELSE 'NM_' || (k % 900) || '.1' END AS id,
@@ -232,7 +232,7 @@ SQL: dict[str, str] = {
  n AS (SELECT count(DISTINCT key) AS c FROM hits)
  SELECT 'symbol' AS col, key AS row_id, 'R-DATE' AS rule_id, 'gene-date' AS kind, symbols AS suggestion, CASE WHEN k = 1 THEN 0.95 WHEN k IS NULL THEN 0.0 WHEN c < 2 THEN CASE WHEN one_modern THEN 0.3 ELSE 0.2 END WHEN one_modern THEN 0.6 ELSE 0.5 END AS confidence
  FROM base LEFT JOIN js USING (key) LEFT JOIN ones USING (key), n UNION ALL SELECT 'note', o_orderkey, 'R-DSTR', 'gene-date-string', 'OCT2', 0.55 FROM orders WHERE o_orderkey % 97 = 0""",
-    "recall": f"""{SUSP}, e AS (SELECT o_orderkey AS note_id, 'file' || (o_orderkey % 29) || '_x.csv' AS file_id, CASE o_orderkey % 5 WHEN 0 THEN [] WHEN 1 THEN ['MARC1', 'MARCH1', 'SEPT2'] WHEN 2 THEN ['DEC1'] ELSE ['MARCH9', 'OCT4'] END AS symbols FROM orders WHERE o_orderkey < 200),
+    "recall": f"""{SUSP}, e AS (SELECT o_orderkey AS note_id, 'file' || (o_orderkey % 29) || '_x.csv' AS file_id, CASE o_orderkey % 5 WHEN 0 THEN [] WHEN 1 THEN ['MARC1', 'MARCH1', 'SEPT2'] WHEN 2 THEN ['DEC1'] ELSE ['MARCH9', 'OCT4'] END AS symbols FROM orders),
  o AS (SELECT file_id, list_distinct(flatten(list(candidates))) AS offered FROM susp GROUP BY file_id)
  SELECT note_id, array_to_string(symbols, '|') AS symbols, CASE WHEN len(symbols) = 0 THEN 'ambiguous-note' WHEN offered IS NULL THEN 'FN-missed' WHEN list_has_any(symbols, offered) THEN 'TP' ELSE 'FN-suggestion-mismatch' END AS outcome FROM e LEFT JOIN o USING (file_id)""",
     "html_sniff": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'tsv' ELSE CASE WHEN contains(lower(substr(html, 1, 2048)), '<table') THEN 'html' WHEN regexp_matches(lower(ltrim(substr(html, 1, 2048))), '^(<!doctype html|<html|<head|<\\?xml version|<script)') THEN 'error' WHEN contains(substr(html, 1, 2048), chr(9)) THEN 'tsv' ELSE 'as named' END END AS format FROM pages",
@@ -250,4 +250,50 @@ SQL: dict[str, str] = {
     "schema_fields": VERDICTS.replace(" SELECT sheet, col, is_id, (n_lz", ", vv AS (SELECT sheet, col, is_id, (n_lz", 1) + f"""), t AS (SELECT sheet, col, any_value(vtype) AS vtype, count(*) FILTER (WHERE regexp_matches(s, {q(X.GENE_LIKE)})) AS g, count(*) FILTER (WHERE regexp_matches(s, {q(X.RIKEN)})) AS r FROM first GROUP BY sheet, col)
  SELECT sheet, col, CASE WHEN promoted THEN CASE WHEN g > 0 AND g >= r THEN 'HGNC' WHEN r > 0 THEN 'RIKEN' ELSE 'generic' END END AS registry, CASE WHEN promoted THEN 'string' ELSE CASE vtype WHEN 'int' THEN 'integer' WHEN 'float' THEN 'number' WHEN 'date' THEN 'date' ELSE 'string' END END AS type,
  CASE WHEN promoted AND g > 0 AND g >= r THEN '^[A-Z][A-Z0-9-]{{1,14}}$' WHEN promoted AND r > 0 THEN '^\\d{{7}}[A-Z]\\d{{2}}$' END AS pattern FROM vv JOIN t USING (sheet, col)""",
+    # what each rule has to say of the golden sheets, once for each nation
+    "rule_sheets": """SELECT sheet, col, row_id, rule_id, kind, suggestion, CAST(confidence AS DOUBLE) AS confidence, (SELECT count(*) FROM nation) AS n FROM (VALUES
+ ('times', 'gene', 3, 'R-TIME-STR', 'time-coercion', '1:03', 0.75),
+ ('times', 'gene', 4, 'R-TIME-STR', 'time-coercion', '11:30', 0.75),
+ ('times', 'gene', 5, 'R-TIME-OBJ', 'time-coercion', '1:3', 0.80),
+ ('alike', 'gene', 4, 'R-HOMO', 'homoglyph', 'TP53', 0.85),
+ ('alike', 'gene', 5, 'R-HOMO', 'homoglyph', 'ATM', 0.85),
+ ('dates', 'symbol', 2, 'R-DATE', 'gene-date', 'SEPTIN2 | SEPT2 | SEP2', 0.60),
+ ('dates', 'symbol', 3, 'R-DATE', 'gene-date', 'MARCHF1 | MTARC1 | MARCH1 | MARC1', 0.50),
+ ('lone', 'symbol', 3, 'R-DATE', 'gene-date', 'SEPTIN2 | SEPT2 | SEP2', 0.30),
+ ('serial', 'symbol', 2, 'R-SER-NUM', 'gene-date-serial', 'MARCH1 | MARC1', 0.85),
+ ('serial', 'symbol', 4, 'R-SER-STR', 'gene-date-serial', 'SEPT2 | SEP2', 0.75),
+ ('serial', 'symbol', 5, 'R-DATE', 'gene-date', 'SEPTIN2 | SEPT2 | SEP2', 0.30),
+ ('serial', 'symbol', 6, 'R-SER-NUM', 'gene-date-serial', 'SEPT1 | SEP1 | SEPT12 | SEP12', 0.85),
+ ('serial_alone', 'symbol', 4, 'R-SER-NUM', 'gene-date-serial', 'MARCH1 | MARC1', 0.15),
+ ('serial_alone', 'symbol', 5, 'R-SER-STR', 'gene-date-serial', 'SEPT2 | SEP2', 0.15),
+ ('id_float', 'symbol', 4, 'R-IDFLOAT-P1', 'id-float', NULL, 0.85),
+ ('zeros', 'acc', 3, 'R-LZ', 'leading-zero-stripped', '00012345', 0.85),
+ ('zeros', 'acc', 4, 'R-LZ', 'leading-zero-stripped', '00023456', 0.85),
+ ('zeros_two', 'acc', 3, 'R-LZ', 'leading-zero-stripped', '00012345', 0.65),
+ ('long', 'accession', 4, 'R-LONG', 'long-int-precision-loss', NULL, 0.85),
+ ('floats', 'gene_id', 1, 'R-IDF-A', 'id-float', NULL, 0.95),
+ ('floats', 'gene_id', 3, 'R-IDF-A', 'id-float', NULL, 0.95),
+ ('floats', 'gene_id', 4, 'R-IDF-A', 'id-float', NULL, 0.80),
+ ('riken', 'RIKEN_cdna_id', 0, 'R-IDF-B', 'id-float', NULL, 0.85),
+ ('riken', 'RIKEN_cdna_id', 1, 'R-IDF-B', 'id-float', NULL, 0.85),
+ ('riken', 'RIKEN_cdna_id', 2, 'R-IDF-B', 'id-float', NULL, 0.85),
+ ('riken', 'RIKEN_cdna_id', 3, 'R-IDF-C', 'id-float', NULL, 0.55),
+ ('blind', 'misc_col', 2, 'R-SSTR', 'gene-date-serial', 'SEPT2 | SEP2', 0.30),
+ ('blind', 'Unnamed_1', 0, 'R-SNUM', 'gene-date-serial', 'MARCH8', 0.30),
+ ('blind', 'col_a', 1, 'R-DSTR', 'gene-date-string', 'OCT2', 0.55),
+ ('blind', 'misc_b', 1, 'R-DATE-P2', 'gene-date', 'SEPTIN2 | SEPT2 | SEP2', 0.30),
+ ('texts', 'marker', 0, 'R-OCT34', 'gene-date-string', 'POU5F1 | OCT4 | OCT3', 0.80),
+ ('texts', 'remark', 1, 'R-CAS', 'cas-registry', '50-78-2', 0.70),
+ ('texts', 'cas_number', 1, 'R-CAS', 'cas-registry', '50-78-2', 0.20),
+ ('auto', 'symbol', 5, 'R-AUTO', 'autofill-sequence', NULL, 0.90),
+ ('auto', 'symbol', 5, 'R-DATE', 'gene-date', 'SEPTIN2 | SEPT2 | SEP2', 0.60),
+ ('auto', 'symbol', 6, 'R-DATE', 'gene-date', 'SEPTIN3 | SEPT3 | SEP3', 0.60),
+ ('auto', 'symbol', 7, 'R-DATE', 'gene-date', 'SEPTIN4 | SEPT4 | SEP4', 0.60),
+ ('auto', 'symbol', 8, 'R-DATE', 'gene-date', 'SEPTIN5 | SEPT5 | SEP5', 0.60),
+ ('auto', 'symbol', 9, 'R-DATE', 'gene-date', 'SEPTIN6 | SEPT6 | SEP6', 0.60),
+ ('commas', 'value', 0, 'R-DC-COL', 'decimal-comma', 'set decimalChar to `,` in the table schema, or convert numbers to period-decimal', 0.55),
+ ('comma_cell', 'value', 9, 'R-DC-CELL', 'decimal-comma', 'period-decimal (replace `,` with `.`)', 0.40),
+ ('unknown', 'symbol', 10, 'R-UNREC', 'unrecognized-symbol', NULL, 0.20)) t(sheet, col, row_id, rule_id, kind, suggestion, confidence)""",
+    "large_files": "SELECT 'f' || o_orderkey AS file_id, 'R-BIG' AS rule_id, 'file-too-large' AS kind, format('{:,}', o_orderkey * 10007) || ' bytes' AS value_repr, CAST(0 AS DOUBLE) AS confidence FROM orders WHERE o_orderkey * 10007 > 100000000",
+    "stratified_sample": "SELECT o_orderkey AS row_id, CAST(o_totalprice AS DOUBLE) AS v_num FROM orders WHERE o_orderkey < 100 OR o_orderkey >= (SELECT max(o_orderkey) - 99 FROM orders)",
 }

@@ -19,7 +19,8 @@ from gridmend.operators import schema as H
 from gridmend.operators import sequence as Q
 from gridmend.operators import walk as W
 from gridmend.operators import xref as V
-from gridmend.plans.detect import audit_summary, detect, exit_code
+from gridmend.plans import golden
+from gridmend.plans.detect import audit_summary, detect, exit_code, too_large
 from gridmend.sources.readers import sniff_column
 
 TABLES = {"customer": "c_custkey", "part": "p_partkey", "nation": "n_nationkey", "region": "r_regionkey", "supplier": "s_suppkey", "orders": "o_orderkey"}
@@ -257,7 +258,7 @@ def registry_resolve(spark, d):
 
 def registry_equivalents(spark, d):
     r = part_registry(spark, d)
-    asked = r.current.where("length(symbol) <= 5").unionByName(r.prev.select(F.col("old").alias("symbol")))
+    asked = r.current.unionByName(r.prev.select(F.col("old").alias("symbol")))
     return r.equivalents(asked)
 
 
@@ -362,7 +363,7 @@ def recall(spark, d):
     k = F.col("o_orderkey")
     s = suspicions(spark, d)
     note = F.when(k % 5 == 0, F.lit("nothing")).when(k % 5 == 1, F.lit("SEPT2, 1-Mar")).when(k % 5 == 2, F.lit("DEC1")).otherwise(F.lit("MARCH9;OCT4"))
-    expected = orders(spark, d).where("o_orderkey < 200").select(F.concat(F.lit("file"), (k % 29).cast("string"), F.lit("_x.csv")).alias("file_id"), k.alias("note_id"), W.note_symbols(note).alias("symbols"))
+    expected = orders(spark, d).select(F.concat(F.lit("file"), (k % 29).cast("string"), F.lit("_x.csv")).alias("file_id"), k.alias("note_id"), W.note_symbols(note).alias("symbols"))
     got = W.score_recall(expected, s)
     return got.select("note_id", text(F.col("symbols")).alias("symbols"), "outcome")
 
@@ -395,7 +396,20 @@ def merged_fill(spark, d):
 
 def stratified_sample(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice"))
-    return C.sample_rows(C.from_table(o, "row_id", skip=("row_id",)), 1_000_000, head=100).select("row_id", "v_num")
+    # one sheet of as many rows as the highest order; head and tail are taken whole, so both show in the counts
+    last = o.agg(F.max("row_id")).first()[0] + 1
+    got = C.sample_rows(C.from_table(o, "row_id", skip=("row_id",)), last, head=100, above=1000)
+    return got.where((F.col("row_id") < 100) | (F.col("row_id") >= last - 100)).select("row_id", "v_num")
+
+
+def rule_sheets(spark, d):
+    found = detect(golden.cells(spark, table(spark, d, "nation"))).suspicions
+    return found.groupBy("sheet", "col", "row_id", "rule_id", "kind", "suggestion", "confidence").agg(F.count("*").alias("n"))
+
+
+def large_files(spark, d):
+    files = orders(spark, d).select(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_orderkey") * 10_007).alias("length"))
+    return too_large(files, 100_000_000).select("file_id", "rule_id", "kind", "value_repr", "confidence")
 
 
 def snapshot_ages(spark, d):
@@ -446,7 +460,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         gene_date_by_family, serial_to_date, reverse_date, canonicalize, parse_date_text, parse_cell_dates, simulate_roundtrip, riken_signature, leading_zeros, time_texts,
         cas_and_aliases, decimal_commas, homoglyphs, value_kinds, header_hints, cells_of_tables, classify_columns, column_verdicts, column_counts, detect_sheet, detect_tables, autofill_runs,
         registry_build, registry_resolve, registry_equivalents, xref_lookup, xref_adjudicate, bands, exit_codes, audit, analytics, capped, proposals, audit_log, apply_corrections, schema_fields, table_schemas,
-        prefilter, recall, precision_intervals, corpus_summary, html_sniff, merged_fill, stratified_sample, snapshot_ages, date_prone, reports, json_reports, batch_summary, payloads,
+        prefilter, recall, precision_intervals, corpus_summary, html_sniff, merged_fill, stratified_sample, rule_sheets, large_files, snapshot_ages, date_prone, reports, json_reports, batch_summary, payloads,
     )
 }
 __all__ = ["QUERIES", "R"]
