@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMS = 1 << 16
@@ -244,36 +244,49 @@ def fit(rows: list[tuple[str, str]], max_words: int = 150_000, steps: int = 60,
     return model
 
 
-def train(docs: DataFrame, usable: Column, max_rows: int = 400) -> LanguageCRF:
-    """Fit on a sample of at most ``max_rows`` rows of each language, drawn by hash from all rows of docs where
-    ``usable`` (a condition on doc_id) holds and lang is not null; every language takes part."""
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+def train(docs: DataFrame, usable: Column, max_rows: int = 400, max_chars: int = 20_000) -> LanguageCRF:
+    """Fit on a sample of at most ``max_rows`` rows of each language, those of the least hashes of their doc_id among all rows of
+    docs where ``usable`` (a condition on doc_id) holds and lang is not null, so that a rerun draws the same; every language takes
+    part. Texts of more than ``max_chars`` characters would crowd out the rest of the sample and are left out of it; scoring reads them whole."""
+    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     draw = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000_007)) / 1_000_000_007
-    shares = [F.lit(x) for y, n in sorted(counts.items()) for x in (y, max_rows / n)]
+    shares = [F.lit(x) for y, n in sorted(counts.items()) for x in (y, 2.0 * max_rows / n)]
     share = F.try_element_at(F.create_map(*shares), F.col("lang")) if shares else F.lit(0.0)
-    # very long texts would crowd out the rest of the sample; scoring reads them whole
-    drawn = rows.where(draw < share).where(F.length("text") <= 20_000).select("text", "lang").limit(max_rows * max(1, len(counts)))
+    # about twice as many as wanted, of which the least stay
+    drawn = rows.select("text", "lang", draw.alias("draw")).where(F.col("draw") < share)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")))
+    drawn = drawn.withColumn("place", place).where(F.col("place") <= max_rows).select("text", "lang")
     return fit(sorted((r["text"], r["lang"]) for r in drawn.toLocalIterator()))
 
 
 _models: dict[str, LanguageCRF] = {}
 
 
-def label_documents(docs: DataFrame, model: LanguageCRF) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row of docs."""
+def _shared(docs: DataFrame, model: LanguageCRF):
+    """A function that gives the model on an executor; reused workers keep the rows of words they know."""
     used = np.flatnonzero(model.weights.any(axis=1))
     name = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, used, model.weights[used], model.trans, model.lexicon))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _models:  # reused workers keep the rows of words they know
+    def get() -> LanguageCRF:
+        if name not in _models:
             languages, at, rows, trans, lexicon = shared.value
             weights = np.zeros((DIMS, len(languages)))
             weights[at] = rows
             _models.clear()
             _models[name] = LanguageCRF(languages, weights, trans, lexicon)
-        crf = _models[name]
+        return _models[name]
+
+    return get
+
+
+def label_documents(docs: DataFrame, model: LanguageCRF) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row of docs."""
+    get = _shared(docs, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf = get()
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
@@ -285,6 +298,24 @@ def label_documents(docs: DataFrame, model: LanguageCRF) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def label_document_words(docs: DataFrame, model: LanguageCRF) -> DataFrame:
+    """(doc_id, words array<struct<word, lang, score>>) of every row of docs: the language of each word of its text, with
+    its marginal probability; no words for null texts."""
+    get = _shared(docs, model)
+    word = pa.struct([("word", pa.string()), ("lang", pa.string()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf = get()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 100):
+                part = batch.slice(lo, 100)
+                found = [[dict(zip(("word", "lang", "score"), w, strict=True)) for w in label_words(t or "", crf)] for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(word))], ["doc_id", "words"])
+
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    return rows.mapInArrow(run, "doc_id long, words array<struct<word:string,lang:string,score:double>>")
+
+
 def label_words(text: str, model: LanguageCRF) -> list[tuple[str, str, float]]:
     """(word, language, marginal) of every word of a text."""
     out = []

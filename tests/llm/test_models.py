@@ -78,3 +78,46 @@ def test_every_language_is_trained(spark, monkeypatch):
     monkeypatch.setattr(langid, "fit", lambda rows: {y for _, y in rows})
     docs = spark.createDataFrame([(i, f"text {i}", f"l{i % 90}") for i in range(270)], "doc_id long, text string, lang string")
     assert langid.train(docs, F.lit(True)) == {f"l{k}" for k in range(90)}
+
+
+def test_words_of_documents(crf, odd, none):
+    model, _ = crf
+    got = langid.label_document_words(odd, model).collect()
+    assert len(got) == odd.count() and langid.label_document_words(none, model).count() == 0
+    by = {r.doc_id: r.words for r in got}
+    assert by[2] == by[3] == by[6] == [] and [w.word for w in by[7]] == [w for w, *_ in langid.label_words("ünïcode Straße ÀÉ 日本語 テキスト 🎉 and ASCII", model)]
+    assert all(w.lang in model.languages and 0 <= w.score <= 1 for w in by[7])
+
+
+def test_training_on_odd_tables(spark, odd, none):
+    labels = spark.createDataFrame([(1, None), (2, 1), (2, 0), (None, 1), (5, 0), (99, 1)], "doc_id long, toxic int")
+    for docs in (odd, none):
+        for marks in (labels, labels.limit(0)):
+            scored = toxicity.score_documents(docs, toxicity.train(docs, marks, F.lit(True))).collect()
+            assert len(scored) == docs.count() and all(0 <= r.toxicity <= 1 for r in scored)
+        model = langid.train(docs, F.lit(True))
+        assert langid.label_documents(docs, model).count() == docs.count()
+
+
+def test_training_draws_the_same(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    draws = [toxicity.sample_of(d, labels, F.lit(True), 20, 50) for d in (docs, docs.repartition(7))]
+    first, second = ({tuple(r) for r in d.collect()} for d in draws)
+    assert first == second and 50 < len(first) <= 70
+
+
+def test_risk_gradient_lowers_the_risk():
+    # the estimator p * mean_P l(+) + max(0, mean_U l(-) - p * mean_P l(-)) falls from the start to the fitted model
+    rng = np.random.default_rng(2)
+    words = [f"w{i}x" for i in range(60)]
+    make = lambda bad: toxicity.features(" ".join(rng.choice(words, 30).tolist() + ["nastyword"] * bad))
+    positive, unlabelled, prior = [make(3) for _ in range(50)], [make(3 * (i % 8 == 0)) for i in range(400)], 1 / 8
+    model = toxicity.fit(positive, unlabelled, prior)
+
+    def risk(w, b):
+        z = lambda rows: np.array([b + w[s] @ v for s, v in rows])
+        zp, zu = z(positive), z(unlabelled)
+        plus, minus = np.logaddexp(0, -zp).mean(), np.logaddexp(0, zp).mean()
+        return prior * plus + max(0, np.logaddexp(0, zu).mean() - prior * minus)
+
+    assert risk(model.weights, model.bias) < 0.5 * risk(np.zeros(toxicity.DIMS), np.log(prior / (1 - prior)))
