@@ -138,3 +138,38 @@ def test_proximity_without_the_rarest_terms(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_hit, r.n_near) for r in queries.op7_decontamination(spark, str(tmp_path)).collect()}
     assert got == {**{i: (0, 1) for i in range(12)}, 12: (0, 0), 13: (0, 1), 14: (10, 0), 15: (0, 0)}
+
+
+def brute_kept(text, base_failed):
+    """op10's verdict, line by line in Python."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def fails(line):
+        bare = line.rstrip(" ")
+        low, long_enough = bare.lower(), len(word.findall(bare)) >= 4
+        menu = re.fullmatch(rf"\s*(?:(?:{'|'.join(quality.MENU)})(?:\s+|$))+", re.sub(r"[|>»·/,.-]+", " ", low).strip(" "))
+        return (
+            (long_enough and not bare.endswith((".", "!", "?", "…", '"', "”", "»", ":", ";", ")", "'", "。", "！", "？")))
+            or max(bare.count(x) for x in (" | ", " » ", " > ")) > 2
+            or sum(c in quality.SYMBOLS for c in bare) > 0.05 * len(bare)
+            or (bare.count("!!") > 2 and bare.upper() == bare)
+            or bool(not long_enough and menu)
+            or any(x in low for x in quality.BOILERPLATE)
+        )
+
+    clean = "\n".join(x for x in text.split("\n") if not word.search(x) or not fails(x))
+    return not base_failed and 1 - len(clean) / max(1, len(text)) <= 0.5 and len(word.findall(clean)) >= 20
+
+
+def test_verdicts(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    extra = ["Home | About | Contact | Login", "HOME\nAbout us today", "WOW!! BUY!! NOW!! IT IS FREE TODAY.", "a # b $ c % d.", "All rights reserved by us.", "No end mark here at all"]
+    plain = "This is a plain sentence of ten words or so. " * 12
+    docs = docs.unionByName(spark.createDataFrame([(60_000 + i, f"{plain}\n{x}\n{x}") for i, x in enumerate(extra)], "doc_id long, text string"))
+    failed = {(r.doc_id, r.base_failed, r.kept) for r in quality.judge_documents(docs).collect()}
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r.doc_id, []).append(r.text or "")
+    assert any(k for *_, k in failed) and not all(k for *_, k in failed)
+    for i, base, kept in failed:
+        assert kept in {brute_kept(t, base) for t in texts[i]}, i

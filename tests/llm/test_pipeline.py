@@ -17,3 +17,23 @@ def test_stages(spark):
 def test_registered():
     names = queries.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_stages_on_odd_rows(spark, odd, none):
+    from pyspark.sql import functions as F
+
+    names = ["__id", "a.b", "removed", "toxicity", "hash", "fp"]
+    clashing = odd.select("*", *[F.lit(f"kept {n}").alias(n) for n in names])
+    for docs in (clashing, none):
+        for name, stage in corpus_pipeline.STAGES:
+            left = stage(spark, docs, "/root/testdata/sf0.001")
+            rows = left.collect()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert left.columns == docs.columns, name
+                assert all(r[5:] == tuple(f"kept {n}" for n in names) for r in rows if len(r) > 5), name
+            assert len(rows) <= docs.count(), name
+            if name in ("line_dedup", "benchmark_decontamination", "sentencepiece"):
+                assert len(rows) == docs.count(), name
+            if name == "simhash_near_dedup" and docs is clashing:
+                # one of the rows without words, one of the repeated rows, and all of the others
+                assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 2, 4, 5, 5, 6, 7] or len(rows) == 8, name
