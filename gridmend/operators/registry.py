@@ -41,13 +41,14 @@ class Registry:
         return known.unionByName(alias).unionByName(other).groupBy("low").agg(F.collect_set("known").alias("known"), F.max("resolvable").alias("resolvable"), F.max("xspecies").alias("xspecies"))
 
     def resolutions(self) -> DataFrame:
-        """(key, folded, symbol): current, then previous, then alias; exact keys before case-folded ones."""
-        levels = self.current.select(F.col("symbol").alias("key"), "symbol", F.lit(0).alias("level"))
-        levels = levels.unionByName(self.prev.select(F.col("old").alias("key"), "symbol", F.lit(1).alias("level")))
-        levels = levels.unionByName(self.alias.select(F.col("old").alias("key"), "symbol", F.lit(2).alias("level")))
-        exact = levels.select("key", F.lit(False).alias("folded"), "symbol", "level")
-        folded = levels.select(F.lower("key").alias("key"), F.lit(True).alias("folded"), "symbol", "level")
-        return exact.unionByName(folded).groupBy("key", "folded").agg(F.min_by("symbol", F.struct("level", "symbol")).alias("symbol"))
+        """(key, folded, symbol): current, then previous, then alias; exact keys before case-folded ones. Of old names that differ in
+        case alone the one that was claimed last counts."""
+        levels = self.current.select(F.col("symbol").alias("key"), "symbol", F.lit(0).alias("level"), F.lit(0).cast("long").alias("late"))
+        for level, old in ((1, self.prev), (2, self.alias)):
+            levels = levels.unionByName(old.select(F.col("old").alias("key"), "symbol", F.lit(level).alias("level"), (-F.col("row")).cast("long").alias("late")))
+        exact = levels.select("key", F.lit(False).alias("folded"), "symbol", "level", "late")
+        folded = levels.select(F.lower("key").alias("key"), F.lit(True).alias("folded"), "symbol", "level", "late")
+        return exact.unionByName(folded).groupBy("key", "folded").agg(F.min_by("symbol", F.struct("level", "late", "symbol")).alias("symbol"))
 
     def resolve(self, df: DataFrame, column: str, out: str = "resolved") -> DataFrame:
         """df with the present symbol of a column's symbols, or null."""
@@ -82,7 +83,7 @@ def build(hgnc: DataFrame, multispecies: DataFrame | None = None) -> Registry:
 
     def names(column: str) -> DataFrame:
         rows = ok.select("symbol", "row", F.explode(pipe_list(F.col(column))).alias("old"))
-        rows = rows.groupBy("old").agg(F.min_by("symbol", order).alias("symbol"))
+        rows = rows.groupBy("old").agg(F.min_by("symbol", order).alias("symbol"), F.min("row").alias("row"))
         return rows.join(current.select(F.col("symbol").alias("old")), "old", "left_anti")
 
     prev = names("prev_symbol")
@@ -125,7 +126,7 @@ def load(spark: SparkSession, hgnc_glob: str | None = None, xref_glob: str | Non
     # names alone are listed; no snapshot but the last is read
     last = spark.read.format("binaryFile").load(hgnc_glob).select(F.max("path")).first()[0]
     multi = spark.read.csv(xref_glob, sep="\t", header=True).toDF("species", "external_id", "current_symbol", "prev_or_alias") if xref_glob else None
-    return build(spark.read.csv(last, sep="\t", header=True), multi)
+    return build(spark.read.csv(last, sep="\t", header=True).withColumn("row", F.monotonically_increasing_id()), multi)
 
 
 def snapshot_age(path, today):

@@ -154,9 +154,9 @@ BAND = "CASE WHEN confidence >= 0.85 THEN 'High' WHEN confidence >= 0.5 THEN 'Me
 BUCKET = "CASE WHEN confidence >= 0.85 THEN 'high (>=0.85)' WHEN confidence >= 0.5 THEN 'medium (0.5-0.85)' ELSE 'low (<0.5)' END"
 
 REG = """ok AS (SELECT p_partkey AS row, 'GEN' || p_partkey AS symbol, 'OLD' || (p_partkey % 300) || '|GEN' || (p_partkey + 1) AS prev, 'ALI' || (p_partkey % 200) || '| OLD' || (p_partkey % 400) || '| ali' || (p_partkey % 150) AS ali FROM part WHERE p_partkey % 17 <> 0),
- cur AS (SELECT symbol FROM ok), prv AS (SELECT old, arg_min(symbol, row) AS symbol FROM (SELECT trim(unnest(string_split(prev, '|'))) AS old, symbol, row FROM ok) WHERE old NOT IN (SELECT symbol FROM cur) GROUP BY old),
- als AS (SELECT old, arg_min(symbol, row) AS symbol FROM (SELECT trim(unnest(string_split(ali, '|'))) AS old, symbol, row FROM ok) WHERE old NOT IN (SELECT symbol FROM cur) AND old NOT IN (SELECT old FROM prv) GROUP BY old)"""
-LEVELS = "lev AS (SELECT symbol AS key, symbol, 0 AS l FROM cur UNION ALL SELECT old, symbol, 1 FROM prv UNION ALL SELECT old, symbol, 2 FROM als), ex AS (SELECT key, arg_min(symbol, (l, symbol)) AS symbol FROM lev GROUP BY key), fo AS (SELECT lower(key) AS key, arg_min(symbol, (l, symbol)) AS symbol FROM lev GROUP BY lower(key))"
+ cur AS (SELECT symbol FROM ok), prv AS (SELECT old, arg_min(symbol, row) AS symbol, min(row) AS row FROM (SELECT trim(unnest(string_split(prev, '|'))) AS old, symbol, row FROM ok) WHERE old NOT IN (SELECT symbol FROM cur) GROUP BY old),
+ als AS (SELECT old, arg_min(symbol, row) AS symbol, min(row) AS row FROM (SELECT trim(unnest(string_split(ali, '|'))) AS old, symbol, row FROM ok) WHERE old NOT IN (SELECT symbol FROM cur) AND old NOT IN (SELECT old FROM prv) GROUP BY old)"""
+LEVELS = "lev AS (SELECT symbol AS key, symbol, 0 AS l, 0 AS row FROM cur UNION ALL SELECT old, symbol, 1, row FROM prv UNION ALL SELECT old, symbol, 2, row FROM als), ex AS (SELECT key, arg_min(symbol, (l, symbol)) AS symbol FROM lev GROUP BY key), fo AS (SELECT lower(key) AS key, arg_min(symbol, (l, -row, symbol)) AS symbol FROM lev GROUP BY lower(key))"
 HOMO_FROM = "".join(X.HOMOGLYPHS)
 HOMO_TO = "".join(t * len(f) for f, t in X.HOMOGLYPHS.items())
 BRAND = "replace(CASE WHEN p_partkey % 5 = 0 THEN translate(upper(p_brand), 'ABR', 'АΒꓣ') ELSE upper(p_brand) END, '#', '')"
