@@ -71,3 +71,14 @@ def bundle(fixed_cells: DataFrame, log: DataFrame, schemas: DataFrame, file_id:
         w.writerows(rows)
         z.writestr("report.csv", out.getvalue())
     return data.getvalue()
+
+
+def schema_bundle(schemas: DataFrame) -> bytes | None:
+    """A ZIP of the schemas of a batch of files, one entry for each file (its first sheet's); None if there are none."""
+    first = schemas.groupBy("file_id").agg(F.min_by("schema", "sheet_ord").alias("schema")).orderBy("file_id")
+    data, n = io.BytesIO(), 0
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for r in first.toLocalIterator():
+            z.writestr(f"{r.file_id.rsplit('/', 1)[-1]}.schema.json", r.schema)
+            n += 1
+    return data.getvalue() if n else None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmend.functions import fixed as X
@@ -59,3 +59,8 @@ def violations(cells: DataFrame, field_rows: DataFrame) -> DataFrame:
     j = cells.join(field_rows.where("registry is not null"), COLUMN)
     bad = (F.col("vtype") != "str") | (F.col("pattern").isNotNull() & ~F.col("v_str").rlike(PATTERNS["HGNC"]) & (F.col("registry") == "HGNC")) | ((F.col("registry") == "RIKEN") & ~F.col("v_str").rlike(PATTERNS["RIKEN"]))
     return j.where(bad).select(*COLUMN, "row_id", "vtype", "registry")
+
+
+def bare_column(name: Column) -> Column:
+    """A column's name without the sheet in front of it."""
+    return F.substring_index(name, "!", -1)

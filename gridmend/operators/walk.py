@@ -67,3 +67,19 @@ def orphans(names: DataFrame, listed: DataFrame) -> DataFrame:
     """Names in one list and not in the other, with the side."""
     a = names.join(listed, "name", "left_anti").withColumn("side", F.lit("unlisted"))
     return a.unionByName(listed.join(names, "name", "left_anti").withColumn("side", F.lit("absent")))
+
+
+def record(done: DataFrame, path: str) -> None:
+    """Append finished files (file_id, ...) to the ledger at path, a folder of Parquet. An append is one job, so a walk that is stopped
+    in the middle of it leaves either all of its rows or none."""
+    done.write.mode("append").parquet(path)
+
+
+def annotated_files(notes: DataFrame, files: DataFrame) -> DataFrame:
+    """notes (accession, url, ...) with file_id of the cached file that each is about: the one named by accession and the last part of
+    the url, or, without a url, every spreadsheet of the accession. Notes without such a file have a null file_id."""
+    named = files.select("file_id", F.substring_index("file_id", "/", -1).alias("name"))
+    sheets = named.where(F.lower("name").rlike(r"[.]xlsx?$")).select("file_id", F.substring_index("name", "_", 1).alias("accession"))
+    has_url = F.coalesce(F.length("url") > 0, F.lit(False))
+    pinned = notes.where(has_url).withColumn("name", F.concat_ws("_", "accession", F.substring_index("url", "/", -1))).join(named, "name", "left").drop("name")
+    return pinned.unionByName(notes.where(~has_url).join(sheets, "accession", "left"))

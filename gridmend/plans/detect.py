@@ -11,7 +11,7 @@ from gridmend.functions.scalars import band
 from gridmend.operators import profile as P
 from gridmend.operators import rules as R
 from gridmend.operators.cells import COLUMN, SHEET
-from gridmend.operators.registry import Registry, seed
+from gridmend.operators.registry import Registry, drift_note, seed, snapshot_age
 from gridmend.operators.sequence import autofill_flags
 from gridmend.operators.store import stash
 from gridmend.operators.xref import adjudicate
@@ -25,15 +25,17 @@ class Detection:
     profile: DataFrame
     enriched: DataFrame
 
-    def report(self) -> DataFrame:
-        """One row for each file: rows and columns scanned, identifier columns as sheet!column, suspicions."""
+    def report(self, snapshot: str | None = None, today: str | None = None) -> DataFrame:
+        """One row for each file: rows and columns scanned, identifier columns as sheet!column, suspicions, and a note if the registry's
+        snapshot, a path with its date, is old at today's date."""
         rows = self.enriched.groupBy(*SHEET).agg((F.max("row_id") + 1).alias("rows")).groupBy("file_id").agg(F.sum("rows").alias("rows_scanned"))
         cols = self.profile.groupBy("file_id").agg(
             F.count("*").alias("columns_scanned"),
             F.transform(F.array_sort(F.collect_list(F.when(F.col("promoted") | F.col("is_id"), F.struct("sheet_ord", "col_ord", F.concat_ws("!", "sheet", "col").alias("c"))))), lambda x: x["c"]).alias("identifier_columns"),
         )
         found = self.suspicions.groupBy("file_id").agg(F.count("*").alias("n_suspicions"))
-        return cols.join(rows, "file_id", "left").join(found, "file_id", "left").fillna(0)
+        note = drift_note(snapshot_age(F.lit(snapshot), F.lit(today).cast("date"))) if snapshot and today else F.lit(None).cast("string")
+        return cols.join(rows, "file_id", "left").join(found, "file_id", "left").fillna(0).withColumn("note", note)
 
 
 def detect(cells: DataFrame, registry: Registry | None = None, columns: DataFrame | None = None, row_context_boost: bool = False, reference_year: int = 2026) -> Detection:

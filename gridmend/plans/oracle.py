@@ -296,4 +296,8 @@ SQL: dict[str, str] = {
  ('unknown', 'symbol', 10, 'R-UNREC', 'unrecognized-symbol', NULL, 0.20)) t(sheet, col, row_id, rule_id, kind, suggestion, confidence)""",
     "large_files": "SELECT 'f' || o_orderkey AS file_id, 'R-BIG' AS rule_id, 'file-too-large' AS kind, format('{:,}', o_orderkey * 10007) || ' bytes' AS value_repr, CAST(0 AS DOUBLE) AS confidence FROM orders WHERE o_orderkey * 10007 > 100000000",
     "stratified_sample": "SELECT o_orderkey AS row_id, CAST(o_totalprice AS DOUBLE) AS v_num FROM orders WHERE o_orderkey < 100 OR o_orderkey >= (SELECT max(o_orderkey) - 99 FROM orders)",
+    "column_names": "SELECT p_partkey, p_name AS name FROM part",
+    "walk_files": """WITH f AS (SELECT DISTINCT o_orderkey % 50 AS a, o_orderkey % 7 AS b FROM orders), g AS (SELECT 'cache/PMC' || a || '_t' || b || CASE WHEN b = 3 THEN '.csv' ELSE '.xlsx' END AS file_id, a, b FROM f)
+ SELECT o_orderkey AS note_id, g.file_id FROM orders LEFT JOIN g ON g.a = o_orderkey % 50 AND g.b = o_orderkey % 30 AND g.b <> 3 WHERE o_orderkey % 4 > 0 UNION ALL
+ SELECT o_orderkey, g.file_id FROM orders LEFT JOIN g ON g.a = o_orderkey % 50 AND g.b <> 3 WHERE o_orderkey % 4 = 0""",
 }

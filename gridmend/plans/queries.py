@@ -407,11 +407,27 @@ def rule_sheets(spark, d):
     return found.groupBy("sheet", "col", "row_id", "rule_id", "kind", "suggestion", "confidence").agg(F.count("*").alias("n"))
 
 
+def walk_files(spark, d):
+    k = F.col("o_orderkey")
+    acc = F.concat(F.lit("PMC"), (k % 50).cast("string"))
+    notes = orders(spark, d).select(k.alias("note_id"), acc.alias("accession"), F.when(k % 4 > 0, F.concat(F.lit("http://x/y/t"), (k % 30).cast("string"), F.lit(".xlsx"))).alias("url"))
+    files = orders(spark, d).select((k % 50).alias("a"), (k % 7).alias("b")).distinct()
+    ends = F.when(F.col("b") == 3, ".csv").otherwise(".xlsx")
+    files = files.select(F.concat(F.lit("cache/PMC"), F.col("a").cast("string"), F.lit("_t"), F.col("b").cast("string"), ends).alias("file_id"))
+    got = W.annotated_files(notes, files)
+    return got.select("note_id", "file_id")
+
+
 def large_files(spark, d):
     files = orders(spark, d).select(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_orderkey") * 10_007).alias("length"))
     return too_large(files, 100_000_000).select("file_id", "rule_id", "kind", "value_repr", "confidence")
 
 
+def column_names(spark, d):
+    name = F.concat(F.when(F.col("p_partkey") % 3 > 0, "Sheet1!").otherwise(""), F.when(F.col("p_partkey") % 3 > 1, "x!").otherwise(""), "p_name")
+    return table(spark, d, "part").select("p_partkey", H.bare_column(name).alias("name"))
+
+
 def snapshot_ages(spark, d):
     k = F.col("o_orderkey")
     path = F.concat(F.lit("data/set_"), F.col("d").cast("string"), F.when(k % 9 == 0, F.lit("")).otherwise(F.lit(".tsv")))
@@ -460,7 +476,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         gene_date_by_family, serial_to_date, reverse_date, canonicalize, parse_date_text, parse_cell_dates, simulate_roundtrip, riken_signature, leading_zeros, time_texts,
         cas_and_aliases, decimal_commas, homoglyphs, value_kinds, header_hints, cells_of_tables, classify_columns, column_verdicts, column_counts, detect_sheet, detect_tables, autofill_runs,
         registry_build, registry_resolve, registry_equivalents, xref_lookup, xref_adjudicate, bands, exit_codes, audit, analytics, capped, proposals, audit_log, apply_corrections, schema_fields, table_schemas,
-        prefilter, recall, precision_intervals, corpus_summary, html_sniff, merged_fill, stratified_sample, rule_sheets, large_files, snapshot_ages, date_prone, reports, json_reports, batch_summary, payloads,
+        prefilter, recall, precision_intervals, corpus_summary, html_sniff, merged_fill, stratified_sample, rule_sheets, large_files, walk_files, column_names, snapshot_ages, date_prone, reports, json_reports, batch_summary, payloads,
     )
 }
 __all__ = ["QUERIES", "R"]
