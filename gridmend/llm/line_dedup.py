@@ -42,6 +42,8 @@ APART = 15
 BLOCK, SET_BLOCK = 1024, 64
 #: Line hashes that may be broadcast, of some 20 bytes each; more of them are joined by a shuffle.
 BROADCAST = 2_000_000
+#: Pairs of lines that one task compares.
+TASK_PAIRS = 2_000
 
 
 def normal(line: Column) -> Column:
@@ -142,7 +144,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = pairs.join(texts, "lk").withColumnRenamed("line", "x").join(texts.select(F.col("lk").alias("rep"), F.col("line").alias("y")), "rep")
     sizes = [F.greatest(F.length(c) - (WIDTH - 1), F.lit(1)) for c in "xy"]
     both = both.select("lk", "rep", "x", "y", sizes[0].alias("n"), sizes[1].alias("m")).where(f"least(n, m) >= {SIMILARITY} * greatest(n, m)")
-    both = both.repartition("lk", "rep").select("lk", "rep", "n", "m", F.encode("x", "UTF-32").alias("x"), F.encode("y", "UTF-32").alias("y"))
+    # so many tasks that the shingles of a task's pairs fit in memory: a pair's rows are some thousand times its size
+    tasks = max(1, -(-pairs.count() // TASK_PAIRS))
+    both = both.repartition(tasks, "lk", "rep").select("lk", "rep", "n", "m", F.encode("x", "UTF-32").alias("x"), F.encode("y", "UTF-32").alias("y"))
     rows = both.select("lk", "rep", "n", "x", "y", F.explode(F.sequence(F.lit(0), F.expr("n + m - 1"))).alias("i"))
     part = F.when(F.col("i") < F.col("n"), F.substring("x", F.col("i") * 4 + 1, F.lit(4 * WIDTH))).otherwise(F.substring("y", (F.col("i") - F.col("n")) * 4 + 1, F.lit(4 * WIDTH)))
     rows = rows.select("lk", "rep", F.xxhash64(part).alias("s"), F.when(F.col("i") < F.col("n"), 1).otherwise(2).alias("side"))
@@ -177,7 +181,8 @@ def links_across(lists: DataFrame, found: DataFrame, docs: DataFrame) -> DataFra
     few = tagged.where(F.col("n") <= SET_BLOCK).groupBy("key").agg(F.collect_list(F.struct("lk", "sig", "comp")).alias("p"))
     pair = lambda x, y: F.struct(x["lk"].alias("lk"), y["lk"].alias("rep"))
     pairs = F.transform("p", lambda x: F.transform(F.filter("p", lambda y: (x["lk"] < y["lk"]) & other(x, y)), lambda y: pair(x, y)))
-    links = verified(stash(few.select(F.explode(F.flatten(pairs)).alias("l")).select("l.*").distinct()), docs)
+    pairs = stash(few.select(F.explode(F.flatten(pairs)).alias("l")).select("l.*").distinct())
+    links = verified(pairs, docs)
     many = tagged.where(F.col("n") > SET_BLOCK)
     if many.isEmpty():
         return links
