@@ -35,7 +35,7 @@ WIDTH = 5
 BANDS = 10
 SIMILARITY = 0.8
 #: Places from which a line's shingles are dealt into bins, those that it must keep, and the share of one class in the next.
-FEW, LEAST, STEP = 48, 64, 4
+FEW, LEAST, STEP = 48, 128, 4
 #: Of 6 * BANDS bits, those in which similar lines may differ.
 APART = 15
 #: Members of a list that one side of a row of comparisons holds, by bits and by shingles.
