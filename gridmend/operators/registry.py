@@ -141,7 +141,7 @@ def drift_note(age, limit: int = 30):
 
 def date_prone(registry: Registry) -> DataFrame:
     """(old, symbol) of previous names that a spreadsheet reads as dates."""
-    return registry.prev.where(F.col("old").rlike(X.DATE_PRONE))
+    return registry.prev.where(F.col("old").rlike(X.DATE_PRONE)).select("old", "symbol")
 
 
 def xref_key(text):
