@@ -199,6 +199,22 @@ def test_long_lists_are_compared_completely(spark, monkeypatch):
     assert removed(docs) == want
 
 
+def test_lists_of_unlike_lines_need_no_texts(spark, monkeypatch):
+    # one list of lines that share some shingles by chance: few of them are held against each other, in short lists and long ones
+    monkeypatch.setattr(line_dedup, "entries_of", lambda signed: signed.groupBy("lk").agg(F.min("sig").alias("sig")).withColumn("key", F.lit(1)))
+    asked, texts = [], line_dedup._texts
+    monkeypatch.setattr(line_dedup, "_texts", lambda docs, lks: asked.append(lks.distinct().count()) or texts(docs, lks))
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcde"), 3)) for _ in range(60)]
+    lines = [" ".join(rng.choice(words, 60)) for _ in range(300)]
+    lines.append(lines[7][:-2] + "zz")
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    for size in (64, 1024):
+        monkeypatch.setattr(line_dedup, "SET_BLOCK", size)
+        assert {r.id0 for r in line_dedup.removed_lines(docs).collect()} == {300}
+    assert sum(asked) < 40, asked
+
+
 def test_recall_does_not_depend_on_length(spark):
     # pairs of Jaccard 0.8 to 0.87 by the length of the line, by the share that has a common key and close bits
     rng = np.random.default_rng(3)
