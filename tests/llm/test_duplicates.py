@@ -215,6 +215,27 @@ def test_lists_of_unlike_lines_need_no_texts(spark, monkeypatch):
     assert sum(asked) < 40, asked
 
 
+def test_pairs_are_compared_in_rounds(spark, monkeypatch):
+    # one list, drifting copies in clusters: rounds of bounded size, and no pair again that an earlier round has joined
+    monkeypatch.setattr(line_dedup, "entries_of", lambda signed: signed.groupBy("lk").agg(F.min("sig").alias("sig")).withColumn("key", F.lit(1)))
+    for name, value in (("APART", 80), ("ROUND", 60)):
+        monkeypatch.setattr(line_dedup, name, value)
+    sizes, verified = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, docs: sizes.append(pairs.count()) or verified(pairs, docs))
+    rng = np.random.default_rng(9)
+    texts = []
+    for c in range(2):
+        words = [f"c{c}w{i}xyz" for i in range(40)]
+        for _ in range(12):
+            texts.append(" ".join(words))
+            words = [*words]
+            for k in rng.integers(0, 40, 2):
+                words[k] = f"new{rng.integers(1_000_000)}"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert removed(docs) == brute_removed(spark, docs)
+    assert len(sizes) > 2 and max(sizes[1:]) <= 2 * 60 and sum(sizes[1:]) < 24 * 23 / 2, sizes
+
+
 def test_recall_does_not_depend_on_length(spark):
     # pairs of Jaccard 0.8 to 0.87 by the length of the line, by the share that has a common key and close bits
     rng = np.random.default_rng(3)
