@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gridmend.llm.common import worker_keeps
+
 BLANK = "▁"
 _UNIT = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 #: Units kept per worker process (some 250 MB); the table starts anew when full.
@@ -319,6 +321,7 @@ def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False, c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
+        worker_keeps("pieces", codec_of.cache_clear)
         codec = codec_of(model_file)
         library = sentencepiece.SentencePieceProcessor(model_file=model_file)
         sha = hashlib.sha256

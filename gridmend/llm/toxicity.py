@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridmend.llm.common import drop_stash, named, quoted, stash, text_hash, unnamed
+from gridmend.llm.common import drop_stash, named, quoted, stash, text_hash, unnamed, worker_keeps
 
 DIMS = 1 << 18
 #: Characters of a word's beginning that make a feature of its own: inflected words share it.
@@ -40,6 +40,11 @@ _slots: dict[str, int] = {}
 SLOTS_KEPT = 500_000
 
 
+def forget() -> None:
+    """Empty the kept slots. As a function of the module it does so in the worker, whose copy a task's closure hasn't."""
+    _slots.clear()
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(slots, values): the slots of each distinct word and of each distinct beginning of a word, with
     log(1 + 100 * share of the words), a density that long and short texts share."""
@@ -195,6 +200,7 @@ def train(
     texts = rows.join(F.broadcast(chosen), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash", "part"]).select("part", "text")  # chosen is bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("toxicity", forget)
         for batch in batches:
             found = [features(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
@@ -233,6 +239,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("toxicity", forget)
         m = Model(np.zeros(DIMS, np.float32), bias, prior)
         m.weights[used] = weights
         for batch in batches:

@@ -1,5 +1,9 @@
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+
 import corpus_pipeline
-from gridmend.llm import queries
+from gridmend.llm import pieces, queries, toxicity
 
 
 def test_stages(spark):
@@ -37,3 +41,18 @@ def test_stages_on_odd_rows(spark, odd, none):
             if name == "simhash_near_dedup" and docs is clashing:
                 # one of the rows without words, one of the repeated rows, and all of the others
                 assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 2, 4, 5, 5, 6, 7] or len(rows) == 8, name
+
+
+def test_a_worker_keeps_the_tables_of_one_operator(spark, monkeypatch):
+    # the tasks of both operators, run in this process as in a worker that is used again
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    task = lambda run: list(run(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words"]})])))
+    encode = pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    score = toxicity.score_documents(docs, toxicity.Model(np.zeros(toxicity.DIMS, np.float32), 0.0, 0.5))
+    task(encode)
+    assert pieces.codec_of.cache_info().currsize
+    task(score)
+    assert not pieces.codec_of.cache_info().currsize and toxicity._slots
+    task(encode)
+    assert not toxicity._slots
