@@ -253,6 +253,25 @@ def test_pairs_are_compared_in_rounds(spark, monkeypatch):
     assert len(sizes) > 2 and max(sizes[1:]) <= 2 * 60 and sum(sizes[1:]) < 24 * 23 / 2, sizes
 
 
+def test_families_of_edited_copies(spark, monkeypatch):
+    # one list of copies of a line, each with a seventh of its words changed: hardly any are similar, and few pairs get as far as their texts
+    monkeypatch.setattr(line_dedup, "entries_of", lambda signed: signed.groupBy("lk").agg(F.min("sig").alias("sig")).withColumn("key", F.lit(1)))
+    monkeypatch.setattr(line_dedup, "APART", 80)
+    sizes, verified = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, docs: sizes.append(pairs.count()) or verified(pairs, docs))
+    rng = np.random.default_rng(13)
+    texts = []
+    for _ in range(60):
+        words = [f"w{i}xyz" for i in range(42)]
+        for k in rng.choice(42, 6, replace=False):
+            words[k] = f"new{rng.integers(1_000_000)}"
+        texts.append(" ".join(words))
+    texts.append(texts[30][:-2] + "zz")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert removed(docs) == brute_removed(spark, docs)
+    assert sum(sizes[1:]) < 100, sizes  # of 1,830
+
+
 def test_recall_does_not_depend_on_length(spark):
     # pairs of Jaccard 0.8 to 0.87 by the length of the line, by the share that has a common key and close bits
     rng = np.random.default_rng(3)
